@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import packing, quality, secrets, simhash, substring_dedup, token_counts
+from fathomline.llm import html_text, merkle, mixing, packing, quality, secrets, simhash, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, max_repeat=2.0).select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(*secrets.BASE_KINDS), 256).alias("base_sha256"), listed(*secrets.KINDS).alias("spans"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,11 +65,32 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.edit_likeness(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_secret_scan, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts)
+    f.__name__: f
+    for f in (op1_substring_dedup, op3_mix_sources, op4_secret_scan, op5_html_text, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts, op10_merkle)
 }
 
 ORACLES = {
+    "op10_merkle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
+e AS (SELECT *, left(t, CAST(n - n // 2 AS BIGINT)) || left(nx, CAST(n // 2 AS BIGINT)) AS ed FROM x),
+f AS (SELECT doc_id, v, s FROM (SELECT doc_id, unnest(['t', 'e', 'n']) AS v, unnest([t, ed, nx]) AS txt FROM e),
+  LATERAL (SELECT list_transform(string_split(txt, chr(10) || chr(10)), lambda sec: array_to_string(list_transform(string_split(sec, chr(10)),
+    lambda par: array_to_string(list_transform(string_split(par, '. '), lambda q: left(md5(q), 12)), '.')), ',')) AS s)),
+g AS (SELECT doc_id, v, md5(array_to_string(list_transform(s, lambda sec: md5(array_to_string(list_transform(string_split(sec, ','),
+    lambda par: md5(par)), '.'))), '.')) || '/' || array_to_string(s, ';') AS fp, list_distinct(string_split(replace(replace(array_to_string(s, ';'), ';', '.'), ',', '.'), '.')) AS lv FROM f),
+h AS (SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+    CASE WHEN a.fp = b.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.lv, b.lv)) / (len(a.lv) + len(b.lv)) END AS near_edited,
+    CASE WHEN a.fp = c.fp THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.lv, c.lv)) / (len(a.lv) + len(c.lv)) END AS near_next
+  FROM e JOIN g a ON a.doc_id = e.doc_id AND a.v = 't' JOIN g b ON b.doc_id = e.doc_id AND b.v = 'e' JOIN g c ON c.doc_id = e.doc_id AND c.v = 'n')
+SELECT * FROM h
+""",
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS i, w FROM d),

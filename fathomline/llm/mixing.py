@@ -97,9 +97,9 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeat: float | None
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, quota - F.col("full") * F.col("tokens")).otherwise(0.0)).withColumnRenamed("source", "_mix_source")
 
     # the part epoch: where its permuted blocks cross the quota
-    turn = _unit(F.lit(seed), F.lit("turn"), F.col("full"), F.col("_mix_source"), F.col("_mix_block"))
+    turn = lambda full: _unit(F.lit(seed), F.lit("turn"), F.col(full), F.col("_mix_source"), F.col("_mix_block"))
     order = Window.partitionBy("_mix_source").orderBy("turn", "_mix_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = size.join(plan.select("_mix_source", "full", "rest"), "_mix_source").withColumn("turn", turn).withColumn("upto", F.sum("tokens").over(order))
+    run = size.join(plan.select("_mix_source", "full", "rest"), "_mix_source").withColumn("turn", turn("full")).withColumn("upto", F.sum("tokens").over(order))
     cross = checkpoint(run.where("upto > rest").groupBy("_mix_source").agg(F.min(F.struct("turn", "_mix_block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("cut")))
     edge = cross.select("_mix_source", F.col("cut._mix_block").alias("_mix_block"), F.col("cut.left").alias("left"))
     few = totals.count() <= FEW_SOURCES
@@ -108,13 +108,14 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeat: float | None
     docs_order = Window.partitionBy("_mix_source").orderBy("_mix_doc").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     within = last.withColumn("upto", F.sum(F.coalesce("_mix_tokens", F.lit(0))).over(docs_order))
     stop = within.where("upto > left").groupBy("_mix_source").agg(F.min("_mix_doc").alias("stop"))
-    plan = checkpoint(plan.join(cross, "_mix_source", "left").join(stop, "_mix_source", "left").select("_mix_source", "full", "cut", "stop", (F.col("tokens") > 0).alias("some")))
+    plan = checkpoint(plan.join(cross, "_mix_source", "left").join(stop, "_mix_source", "left").select(
+        "_mix_source", F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut"), F.col("stop").alias("_mix_stop"), (F.col("tokens") > 0).alias("_mix_some")))
     joined = rows.join(small(plan), "_mix_source")
-    mine, edge_turn = turn, F.col("cut.turn")
-    at_edge = (mine == edge_turn) & (F.col("_mix_block") == F.col("cut._mix_block"))
-    before = (mine < edge_turn) | ((mine == edge_turn) & (F.col("_mix_block") < F.col("cut._mix_block")))
-    part = F.col("some") & F.when(F.col("cut").isNull(), F.lit(False)).otherwise(before | (at_edge & F.coalesce(F.col("_mix_doc") < F.col("stop"), F.lit(True))))
-    copies = F.col("full") + F.when(part, 1).otherwise(0)
+    mine, cut = turn("_mix_full"), F.col("_mix_cut")
+    at_edge = (mine == cut["turn"]) & (F.col("_mix_block") == cut["_mix_block"])
+    before = (mine < cut["turn"]) | ((mine == cut["turn"]) & (F.col("_mix_block") < cut["_mix_block"]))
+    part = F.col("_mix_some") & cut.isNotNull() & (before | (at_edge & F.coalesce(F.col("_mix_doc") < F.col("_mix_stop"), F.lit(True))))
+    copies = F.col("_mix_full") + F.when(part, 1).otherwise(0)
     # an epoch's number for each copy; sequence() can't be empty, so rows that come not at all go first
     made = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
     return made.select(*[made[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias("epoch_" if "epoch" in docs.columns else "epoch"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import html_text, merkle, mixing, packing, quality, secrets, simhash, substring_dedup, token_counts
+from fathomline.llm import html_text, lm_score, merkle, mixing, packing, quality, secrets, simhash, substring_dedup, token_counts
 from fathomline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, max_repeat=2.0).select("doc_id", "source", F.col("epoch").cast("long").alias("epoch"))
@@ -72,7 +76,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op3_mix_sources, op4_secret_scan, op5_html_text, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts, op10_merkle)
+    for f in (op1_substring_dedup, op2_lm_score, op3_mix_sources, op4_secret_scan, op5_html_text, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts, op10_merkle)
 }
 
 ORACLES = {

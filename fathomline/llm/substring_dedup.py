@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import checkpoint, written
+from fathomline.llm.common import written
 
 PATH = "bucket long, h1 long, h2 long, doc_id {id}, first int, n int"
 
@@ -109,7 +109,7 @@ def opened(docs: DataFrame, chosen: DataFrame, window: int, id_col: str, text_co
 def repeated_runs(docs: DataFrame, window: int = 50, kmer: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first, n): n windows from word `first` on whose words also start in a document with a smaller id."""
     found = written(paths(docs, window, kmer, id_col, text_col))
-    joined = checkpoint(
+    joined = written(
         found.groupBy("bucket", "h1", "h2").agg(F.min(F.struct("doc_id", "first", "n")).alias("source"), F.max("doc_id").alias("last"))
         .withColumn("shared", F.col("last") > F.col("source.doc_id")).drop("last"))
     whole = found.join(joined.where("shared"), ["bucket", "h1", "h2"]).where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "first", "n")

@@ -81,6 +81,6 @@ def direction_toward(u, v) -> Column:
 
 
 def rounded(x, digits: int = 6) -> Column:
-    """Half up by floor, the same in every engine."""
+    """Half up by floor, the same in every engine: what is a tie but for the last bits counts as one."""
     scale = float(10**digits)
-    return F.floor(col(x) * scale + 0.5) / scale
+    return F.floor(col(x) * scale + 0.50001) / scale

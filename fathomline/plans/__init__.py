@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from fathomline.plans import scalars
+    from fathomline.plans import routes, scalars, spatial
 
-    return (scalars,)
+    return (scalars, routes, spatial)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

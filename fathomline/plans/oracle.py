@@ -11,9 +11,9 @@ VIEWS = {
     "nav_edges": """SELECT src, dst, 2e0 * 3440.065e0 * ATAN2(SQRT(h), SQRT(1e0 - h)) AS distance_nm, 2e0 * 6371e0 * ATAN2(SQRT(h), SQRT(1e0 - h)) AS distance_km
   FROM (SELECT a.node_id AS src, b.node_id AS dst, POWER(SIN(RADIANS(b.lat - a.lat) / 2e0), 2) + COS(RADIANS(a.lat)) * COS(RADIANS(b.lat)) * POWER(SIN(RADIANS(b.lon - a.lon) / 2e0), 2) AS h
         FROM nav_nodes a JOIN nav_nodes b ON b.row_ BETWEEN a.row_ - 1 AND a.row_ + 1 AND b.col_ BETWEEN a.col_ - 1 AND a.col_ + 1 AND a.node_id <> b.node_id) e""",
-    "wx_obs": """SELECT CAST(l_partkey AS BIGINT) AS node_id, CAST(3 * (l_orderkey % 25) AS BIGINT) AS step_h, FLOOR((AVG(2e0 * l_quantity)) * 1e6 + 0.5e0) / 1e6 AS wind_speed,
-  FLOOR((AVG(CASE WHEN l_returnflag <> 'R' THEN 80e0 * l_discount END)) * 1e6 + 0.5e0) / 1e6 AS wave_height, FLOOR((AVG(125e0 * l_tax)) * 1e6 + 0.5e0) / 1e6 AS precipitation, FLOOR((AVG(10000e0 - 90e0 * ((l_orderkey * 17) % 100))) * 1e6 + 0.5e0) / 1e6 AS visibility,
-  FLOOR((AVG(0.2e0 * l_quantity)) * 1e6 + 0.5e0) / 1e6 AS current_vel, CAST(MIN((l_orderkey * 53) % 360) AS DOUBLE) AS wind_dir, CAST(MIN((l_suppkey * 37) % 360) AS DOUBLE) AS wave_dir,
+    "wx_obs": """SELECT CAST(l_partkey AS BIGINT) AS node_id, CAST(3 * (l_orderkey % 25) AS BIGINT) AS step_h, FLOOR((AVG(2e0 * l_quantity)) * 1e6 + 0.50001e0) / 1e6 AS wind_speed,
+  FLOOR((AVG(CASE WHEN l_returnflag <> 'R' THEN 80e0 * l_discount END)) * 1e6 + 0.50001e0) / 1e6 AS wave_height, FLOOR((AVG(125e0 * l_tax)) * 1e6 + 0.50001e0) / 1e6 AS precipitation, FLOOR((AVG(10000e0 - 90e0 * ((l_orderkey * 17) % 100))) * 1e6 + 0.50001e0) / 1e6 AS visibility,
+  FLOOR((AVG(0.2e0 * l_quantity)) * 1e6 + 0.50001e0) / 1e6 AS current_vel, CAST(MIN((l_orderkey * 53) % 360) AS DOUBLE) AS wind_dir, CAST(MIN((l_suppkey * 37) % 360) AS DOUBLE) AS wave_dir,
   CAST(MIN((l_partkey * 71) % 360) AS DOUBLE) AS current_dir FROM lineitem GROUP BY l_partkey, l_orderkey % 25""",
     "voyages": """SELECT CAST(o_orderkey AS BIGINT) AS voyage_id, o_orderdate AS departure, CAST(o_custkey % n.n AS BIGINT) AS start_key, CAST((o_orderkey * 7919) % n.n AS BIGINT) AS end_key,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'fastest' WHEN '2-HIGH' THEN 'Safety' WHEN '3-MEDIUM' THEN 'balanced' WHEN '4-NOT SPECIFIED' THEN 'fuel' ELSE ' distance ' END AS mode_raw
@@ -21,10 +21,10 @@ VIEWS = {
     "api_calls": "SELECT event_id, ts, user_id, CASE event_type WHEN 'error' THEN 2 ELSE 1 END AS units, value AS payload FROM events",
     "atmos_grid": """SELECT step_h, li, lj, 10e0 + 2e0 * li AS lat, -60e0 + 2.5e0 * lj AS lon, u10, v10, SUM(tax) OVER (PARTITION BY li, lj ORDER BY step_h ROWS UNBOUNDED PRECEDING) AS precip_accum
   FROM (SELECT CAST(3 * (l_orderkey % 25) AS BIGINT) AS step_h, CAST(FLOOR(l_partkey / 1e3) AS BIGINT) AS li, CAST(FLOOR((l_partkey % 100) / 1e1) AS BIGINT) AS lj,
-        FLOOR((8e0 * (AVG(l_quantity) - 25e0)) * 1e6 + 0.5e0) / 1e6 AS u10, FLOOR((1600e0 * (AVG(l_discount) - 0.05e0)) * 1e6 + 0.5e0) / 1e6 AS v10, FLOOR((SUM(l_tax)) * 1e6 + 0.5e0) / 1e6 AS tax FROM lineitem GROUP BY 1, 2, 3) g""",
-    "marine_grid": """SELECT CAST(FLOOR(l_partkey / 1e3) AS BIGINT) AS li, CAST(FLOOR((l_partkey % 100) / 1e1) AS BIGINT) AS lj, FLOOR((AVG(80e0 * l_discount)) * 1e6 + 0.5e0) / 1e6 AS wave_height,
+        FLOOR((8e0 * (AVG(l_quantity) - 25e0)) * 1e6 + 0.50001e0) / 1e6 AS u10, FLOOR((1600e0 * (AVG(l_discount) - 0.05e0)) * 1e6 + 0.50001e0) / 1e6 AS v10, FLOOR((SUM(l_tax)) * 1e6 + 0.50001e0) / 1e6 AS tax FROM lineitem GROUP BY 1, 2, 3) g""",
+    "marine_grid": """SELECT CAST(FLOOR(l_partkey / 1e3) AS BIGINT) AS li, CAST(FLOOR((l_partkey % 100) / 1e1) AS BIGINT) AS lj, FLOOR((AVG(80e0 * l_discount)) * 1e6 + 0.50001e0) / 1e6 AS wave_height,
   CAST(MIN((61 * CAST(FLOOR(l_partkey / 1e3) AS BIGINT) + 37 * CAST(FLOOR((l_partkey % 100) / 1e1) AS BIGINT)) % 360) AS DOUBLE) AS wave_dir,
-  FLOOR((0.4e0 * (AVG(l_quantity) - 25e0)) * 1e6 + 0.5e0) / 1e6 AS current_u, FLOOR((40e0 * (AVG(l_tax) - 0.04e0)) * 1e6 + 0.5e0) / 1e6 AS current_v FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1, 2""",
+  FLOOR((0.4e0 * (AVG(l_quantity) - 25e0)) * 1e6 + 0.50001e0) / 1e6 AS current_u, FLOOR((40e0 * (AVG(l_tax) - 0.04e0)) * 1e6 + 0.50001e0) / 1e6 AS current_v FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1, 2""",
     "route_points": """SELECT voyage_id, route_type, seq, node_id, 10e0 + 0.2e0 * FLOOR(node_id / 1e2) AS lat, -60e0 + 0.25e0 * (node_id % 100) AS lon
   FROM (SELECT voyage_id, route_type, seq, (start_key + step * seq) % n AS node_id FROM voyages CROSS JOIN (SELECT COUNT(*) AS n FROM part) c
         CROSS JOIN (SELECT 'baseline' AS route_type, 5 AS step UNION ALL SELECT 'optimized', 7) t CROSS JOIN (SELECT CAST(range AS BIGINT) AS seq FROM range(10)) s) r""",
@@ -52,7 +52,7 @@ def over(sql: str, *views: str, **more: str) -> str:
 
 def r(x: str, digits: int = 6) -> str:
     scale = f"1e{digits}"
-    return f"(FLOOR(({x}) * {scale} + 0.5e0) / {scale})"
+    return f"(FLOOR(({x}) * {scale} + 0.50001e0) / {scale})"
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str, radius: str = "3440.065e0") -> str:

@@ -100,7 +100,7 @@ def polar_speed(spark, d):
     return j.select("node_id", "step_h", r("factor").alias("factor"), r(F.col("factor") * DEFAULT.service_speed_kn).alias("speed_kn"))
 
 
-@query("SELECT CAST(h AS BIGINT) AS h_bin, FLOOR(AVG(f) * 1e6 + 0.5e0) / 1e6 AS factor FROM (SELECT (i // 8) AS h, ([" + ", ".join(f"{f}e0" for row in vessel.POLAR for f in row) + "])[i + 1] AS f FROM range(48) t(i)) GROUP BY h")
+@query("SELECT CAST(h AS BIGINT) AS h_bin, FLOOR(AVG(f) * 1e6 + 0.50001e0) / 1e6 AS factor FROM (SELECT (i // 8) AS h, ([" + ", ".join(f"{f}e0" for row in vessel.POLAR for f in row) + "])[i + 1] AS f FROM range(48) t(i)) GROUP BY h")
 def polar_mean(spark, d):
     return vessel.polar_table(spark).groupBy(F.col("h_bin").cast("long").alias("h_bin")).agg(r(F.avg("factor")).alias("factor"))
 
@@ -138,7 +138,7 @@ def mode_explanation(spark, d):
     return fx.voyages(spark, d).select("voyage_id", mode_name("mode_raw").alias("mode")).withColumn("reason", said[F.col("mode")])
 
 
-@query(o.over("SELECT DISTINCT FLOOR(lat * 1e2 + 0.5e0) / 1e2 AS qlat, FLOOR(lon * 1e2 + 0.5e0) / 1e2 AS qlon FROM nav_nodes", "nav_nodes"))
+@query(o.over(f"SELECT DISTINCT {o.r('lat', 2)} AS qlat, {o.r('lon', 2)} AS qlon FROM nav_nodes", "nav_nodes"))
 def quantize_points(spark, d):
     return fx.nav_nodes(spark, d).select(r("lat", 2).alias("qlat"), r("lon", 2).alias("qlon")).distinct()
 

@@ -23,6 +23,7 @@ UNSEEN = frozenset("head script style template noscript title iframe noembed nof
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset".split())
 BLOCK = frozenset("""address article aside body caption center dd details dialog dir div dt fieldset figcaption footer header hgroup hr html legend
 li main menu nav option search section summary tr tbody thead tfoot""".split()) | SPACED
+HEAD = frozenset("html head title meta link base script style noscript template".split())
 LISTS = frozenset("ul ol menu dir".split())
 #: A start tag, the open elements that it ends, and the elements beyond which it ends none.
 IMPLIED = {t: (("p",), ("table", "td", "th", "button")) for t in BLOCK - {"html", "body", "tr", "tbody", "thead", "tfoot", "caption", "option", "li", "dd", "dt"}}
@@ -85,7 +86,7 @@ def parse(html: str) -> Node:
         limit = last(bound)
         if inner := [places[t][-1] for t in ended if places.get(t) and places[t][-1] > limit]:
             close(min(inner))
-        if not ended and name not in UNSEEN and name not in ("html", "meta", "link", "base", "noscript") and places.get("head"):
+        if name not in HEAD and places.get("head"):
             close(places["head"][-1])  # content that a head can't hold begins the body
         attrs = _attributes(m[3])
         node = Node(name, attrs, _visible(name, attrs))

@@ -512,3 +512,50 @@ def risk_raster(spark, d):
 def route_weather(spark, d):
     """Weather along routes: risk from what is known, then defaults."""
     return fx.route_wx(spark, d).select("voyage_id", "route_type", "seq", r(risk.safety_risk(*WX), 4).alias("risk"), *[F.coalesce(c, F.lit(DEFAULT.defaults[c])).alias(c) for c in ("wind_speed", "wave_height")])
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS run_start, COUNT(*) AS calls, CAST(SUM(CASE event_type WHEN 'error' THEN 2 ELSE 1 END) AS BIGINT) AS units FROM events GROUP BY 1")
+def model_run_slots(spark, d):
+    from fathomline.streaming import windows
+
+    return windows.slots(fx.api_calls(spark, d))
+
+
+@query("""SELECT user_id, MIN(ts) AS start, COUNT(*) AS calls FROM (SELECT *, SUM(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS n FROM events)) GROUP BY user_id, s""")
+def call_sessions(spark, d):
+    from fathomline.streaming import windows
+
+    return windows.sessions(fx.api_calls(spark, d))
+
+
+@query()
+def refine_rounds(spark, d):
+    """Fastest hours through each start's corridor, priced again with the weather at the arrivals of the round before.
+
+    A voyage whose hours change by less than DEFAULT.converged isn't searched again. Each round is written
+    to the checkpoint folder, as the next one's prices need it.
+    """
+    n = fx.nav_nodes(spark, d)
+    near = spatial.within(_start_points(spark, d), _others(n), 90.0).select("start_key", "node_id")
+    ends = near.groupBy("start_key").agg(F.min("node_id").alias("start"), F.max("node_id").alias("goal"))
+    at = lambda k, x: n.select(F.col("node_id").alias(k), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
+    e = edge_ends(spark, d).withColumn("heading", geo.bearing(*ENDS_AT))
+    inside = near.withColumnRenamed("node_id", "src").join(e, "src").join(near.withColumnRenamed("node_id", "dst"), ["start_key", "dst"]).join(ends, "start_key").join(at("start", "s"), "start").join(at("goal", "g"), "goal")
+    way = geo.haversine_km("lat_s", "lon_s", "lat1", "lon1") / F.greatest(geo.haversine_km("lat_s", "lon_s", "lat_g", "lon_g"), F.lit(1e-9))
+    edges = graph._checkpoint(inside.withColumn("way", F.least(way, F.lit(1.0))).drop("lat_s", "lon_s", "lat_g", "lon_g"))
+    wx = fx.wx_obs(spark, d).withColumnRenamed("node_id", "src")
+    last = ends.select("start_key", F.lit(0.0).alias("before"))
+    out = None
+    for i in range(DEFAULT.rounds):
+        hour = F.least(F.col("way") * F.col("before"), F.lit(float(DEFAULT.horizon_h)))
+        p = edges.join(last, "start_key").withColumn("step_h", (3 * F.floor(hour / 3.0 + 0.5)).cast("long")).join(wx, ["src", "step_h"], "left")
+        hours = vessel.performance("distance_nm", "wave_height", "wave_dir", "wind_speed", "wind_dir", "current_vel", "current_dir", "heading")["hours"]
+        long = p.select(F.col("start_key").alias("voyage_id"), F.lit("fastest").alias("profile"), "src", "dst", F.col("heading").alias("bearing"), hours.alias("cost"), "start", "goal")
+        found = graph._checkpoint(graph.searched(long, DEFAULT.turn_cap_deg).where("cost is not null").select(F.col("voyage_id").alias("start_key"), F.lit(i).cast("long").alias("round"), "cost"))
+        out = found if out is None else out.unionByName(found)
+        moved = found.join(last, "start_key").where(F.abs(F.col("cost") - F.col("before")) > DEFAULT.converged * F.abs(F.col("before")))
+        last = graph._checkpoint(moved.select("start_key", F.col("cost").alias("before")))
+        if last.isEmpty():
+            break
+    return out.select("start_key", "round", r("cost", 4).alias("hours"))

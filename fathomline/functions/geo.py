@@ -18,16 +18,16 @@ def half_chord(lat1, lon1, lat2, lon2) -> Column:
     return F.least(F.lit(1.0), a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b)
 
 
-def _arc(h: Column, radius: float) -> Column:
+def arc(h: Column, radius: float) -> Column:
     return F.lit(2.0 * radius) * F.atan2(F.sqrt(h), F.sqrt(1.0 - h))
 
 
 def haversine_nm(lat1, lon1, lat2, lon2) -> Column:
-    return _arc(half_chord(lat1, lon1, lat2, lon2), EARTH_NM)
+    return arc(half_chord(lat1, lon1, lat2, lon2), EARTH_NM)
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    return _arc(half_chord(lat1, lon1, lat2, lon2), EARTH_KM)
+    return arc(half_chord(lat1, lon1, lat2, lon2), EARTH_KM)
 
 
 def mod360(x: Column) -> Column:

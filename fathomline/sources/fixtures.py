@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.geo import EARTH_KM, EARTH_NM, half_chord, rounded
-from fathomline.functions.geo import _arc as arc
+from fathomline.functions.geo import EARTH_KM, EARTH_NM, arc, half_chord, rounded
 
 #: The eight neighbours of a lattice node.
 OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]

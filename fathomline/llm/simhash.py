@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import checkpoint
 from fathomline.llm.components import components
 
-#: Random candidates per fingerprint that a grid may give; members from which a cell is cut again.
-CANDIDATES, LARGE_CELL = 16, 64
+#: Random candidates per fingerprint that a grid may give; the least number of groups that its cells hold equal; members from
+#: which a cell is cut again.
+CANDIDATES, LEAST_LEVEL, LARGE_CELL = 16, 4, 64
 #: Bits of choice in the popcounts of one two-bit segment, by its collision probability of 3/8.
 SEGMENT_BITS, SEGMENTS = 1.415, 32
 
@@ -73,7 +74,7 @@ def cell_masks(segments: list[int], distance: int, extra: int) -> list[int]:
 
 def grid_level(n: int, distance: int) -> int:
     """The fewest groups to hold equal that leave about CANDIDATES random members to a fingerprint's cells."""
-    m = 2
+    m = LEAST_LEVEL
     while m < 12 and n * comb(distance + m, m) * 2 ** (-SEGMENT_BITS * SEGMENTS * m / (distance + m)) > CANDIDATES:
         m += 1
     return m

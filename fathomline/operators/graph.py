@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import geo
 
+#: Steps that a round of relaxation goes on before its states are written.
+HOPS = 8
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir; one of our own only where it is unset."""
@@ -23,17 +26,25 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def relax(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("node",), most: int = 10_000) -> DataFrame:
     """Least cost of every reachable state.
 
-    start: keys and cost. edges: a step, with the keys, the same ones with `to_`, and step. Each round prices the steps
-    out of states that became cheaper, takes the least for each state and keeps what improves; the driver gets
-    one count a round. Ends when nothing improves, so costs are exact for steps that aren't negative.
+    start: keys and cost. edges: a step, with the keys, the same ones with `to_`, and step. Each round goes HOPS steps on
+    from the states that became cheaper, takes the least for each state and keeps what improves; the driver gets
+    one count a round. Ends when nothing improves, so costs are exact for steps that aren't negative. Edges are written
+    once, with a free step from each state to itself that carries it through a round's hops, and one exchange
+    of them serves all hops of a round.
     """
-    ks = list(keys)
+    ks, to = list(keys), [f"to_{k}" for k in keys]
+    both_ends = edges.select(*ks).unionByName(edges.select(*[F.col(t).alias(k) for k, t in zip(ks, to, strict=True)])).distinct()
+    stay = both_ends.select(*ks, *[F.col(k).alias(t) for k, t in zip(ks, to, strict=True)], F.lit(0.0).alias("step"))
+    steps = _checkpoint(edges.select(*ks, *to, F.col("step").cast("double").alias("step")).unionByName(stay))
     best = _checkpoint(start.select(*ks, "cost"))
     front = best
     for _ in range(most):
-        tried = front.join(edges, ks).select(*[F.col(f"to_{k}").alias(k) for k in ks], (F.col("cost") + F.col("step")).alias("new"))
-        tried = tried.groupBy(*ks).agg(F.min("new").alias("new"))
-        joined = tried.join(best, ks, "full").withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-9)))
+        tried = front
+        for _ in range(HOPS):
+            tried = tried.join(steps, ks).select(*[F.col(t).alias(k) for k, t in zip(ks, to, strict=True)], (F.col("cost") + F.col("step")).alias("cost"))
+            tried = tried.groupBy(*ks).agg(F.min("cost").alias("cost"))
+        joined = tried.withColumnRenamed("cost", "new").join(best, ks, "full")
+        joined = joined.withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-9)))
         state = _checkpoint(joined.select(*ks, F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), "better"))
         front = state.where("better").drop("better")
         best = state.drop("better")
@@ -47,13 +58,9 @@ def directed(edges: DataFrame) -> DataFrame:
 
 
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that can be reached from start (node), which count as reached."""
-    seen = _checkpoint(start.select("node").distinct())
-    front = seen
-    while not front.isEmpty():
-        front = _checkpoint(front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = _checkpoint(seen.unionByName(front))
-    return seen
+    """Nodes that can be reached from start (node), which count as reached: relaxation by free steps."""
+    free = edges.select(F.col("src").alias("node"), F.col("dst").alias("to_node"), F.lit(0.0).alias("step"))
+    return relax(start.select("node", F.lit(0.0).alias("cost")).distinct(), free).select("node")
 
 
 def turns(edges: DataFrame, cap: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every query with SQL against another engine, at the smallest scale; streams against tables."""
 
+import heapq
 import math
 import tempfile
 
@@ -42,6 +43,23 @@ def test_query_has_rows(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
 
 
+def test_path_costs_equal_a_heap_search(spark):
+    from fathomline.sources import fixtures
+
+    out = {}
+    for e in fixtures.nav_edges(spark, SF).collect():
+        out.setdefault(e.src, []).append((e.dst, e.distance_nm))
+    heap, want = [(0.0, min(r.node_id for r in fixtures.nav_nodes(spark, SF).collect()))], {}
+    while heap:
+        cost, at = heapq.heappop(heap)
+        if at not in want:
+            want[at] = cost
+            for dst, step in out.get(at, ()):
+                heapq.heappush(heap, (cost + step, dst))
+    got = {r.node: r.nm for r in plans.queries()["baseline_path_cost"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

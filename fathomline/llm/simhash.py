@@ -144,7 +144,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that have a smaller id in their component; columns as they were."""
+    """docs without the rows that have a smaller id in their component; columns as they were.
+
+    Rows of one id are one document: they stay or go together. Rows with a null id stay. An empty table gives an
+    empty result.
+    """
     found = near_duplicates(docs, shingle, distance, id_col, text_col)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -137,3 +137,11 @@ def test_components_of_a_star_and_a_chain(spark):
     edges = [(1, i) for i in range(2, 300)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (5, 1)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 1 for i in range(1, 300)) and all(got[i] == 1000 for i in range(1000, 1101))
+
+
+def test_keep_one_by_id(spark, table):
+    rows = [(4, "same text here now"), (2, "same text here now"), (2, "same text here now"), (None, "same text here now"), (7, "quite another one, unlike that"), (9, None), (8, "")]
+    kept = simhash.keep_one(table(rows))
+    assert kept.columns == table(rows).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 2, None, 7, 8], key=repr)
+    assert simhash.keep_one(table([])).count() == 0

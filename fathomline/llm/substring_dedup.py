@@ -5,8 +5,9 @@ minimizers, the edges are dealt into buckets by the smallest hash among the shor
 a window's words alone. Neighbouring windows of a document in one bucket are a path; equal paths of several
 documents are joined into one repeated path with the smallest source coordinate. Where all occurrences in a bucket are the
 same path it doesn't branch, and its occurrences outside the smallest document are covered as a whole. Where paths
-of a bucket differ, one occurrence of each is opened into its windows, which are joined one by one. Source coordinates
-(document, first word, count) give the spans, and 128-bit digests of the words at these coordinates verify equality.
+of a bucket differ, one occurrence of each is opened into its windows, which are joined one by one; what they cover is
+carried over to the other occurrences of their path in the same document. Source coordinates (document, first word, count)
+give the spans, and 128-bit digests of the words at these coordinates verify equality.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import written
 
-PATH = "bucket long, h1 long, h2 long, doc_id {id}, first int, n int"
+PATH = "bucket long, h1 long, h2 long, doc_id {id}, first int, n int, back int"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,15 +65,20 @@ def bucket_runs(words: list[bytes], window: int, kmer: int) -> tuple["numpy.ndar
 def _batch(columns: list, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
     import numpy as np
 
-    types = {"doc_id": id_type, "first": pa.int32(), "n": pa.int32(), "at": pa.int32()}
+    types = {"doc_id": id_type, "first": pa.int32(), "n": pa.int32(), "back": pa.int32(), "at": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(c if n == "doc_id" else (np.concatenate(c) if c else []), types.get(n, pa.int64())) for n, c in zip(names, columns, strict=True)], names)
 
 
 def paths(docs: DataFrame, window: int, kmer: int, id_col: str, text_col: str) -> DataFrame:
-    """The occurrences of paths: PATH, a row for each run of windows in one bucket."""
-    kind, names = docs.schema[id_col].dataType.simpleString(), ["bucket", "h1", "h2", "doc_id", "first", "n"]
+    """The occurrences of paths: PATH, a row for each run of windows in one bucket.
+
+    An occurrence repeats the first one of its path in the document, `back` words before; 0 for the first one itself.
+    """
+    kind, names = docs.schema[id_col].dataType.simpleString(), ["bucket", "h1", "h2", "doc_id", "first", "n", "back"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
             out: list[list] = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -80,7 +86,9 @@ def paths(docs: DataFrame, window: int, kmer: int, id_col: str, text_col: str) -
                     continue
                 bucket, first, n = bucket_runs(w, window, kmer)
                 d = digests(w, list(zip(first, first + n + window - 1, strict=True)))
-                for c, x in zip(out, (bucket, d[:, 0], d[:, 1], [doc] * len(n), first, n), strict=True):
+                _, lead, of = np.unique(d[:, 0], return_index=True, return_inverse=True)
+                back = np.where(d[:, 1] == d[lead[of], 1], first - first[lead[of]], 0)
+                for c, x in zip(out, (bucket, d[:, 0], d[:, 1], [doc] * len(n), first, n, back), strict=True):
                     c.extend(x) if x.__class__ is list else c.append(x)
             yield _batch(out, names, b.schema.field(0).type)
 
@@ -107,18 +115,22 @@ def opened(docs: DataFrame, chosen: DataFrame, window: int, id_col: str, text_co
 
 
 def repeated_runs(docs: DataFrame, window: int = 50, kmer: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n): n windows from word `first` on whose words also start in a document with a smaller id."""
+    """(doc_id, first, n, back): n windows from word `first` on whose words also start in a document with a smaller id.
+
+    Where back > 0, the windows are those that start `back` words before in the document, and share their fate.
+    """
     found = written(paths(docs, window, kmer, id_col, text_col))
     joined = written(
         found.groupBy("bucket", "h1", "h2").agg(F.min(F.struct("doc_id", "first", "n")).alias("source"), F.max("doc_id").alias("last"))
         .withColumn("shared", F.col("last") > F.col("source.doc_id")).drop("last"))
-    whole = found.join(joined.where("shared"), ["bucket", "h1", "h2"]).where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "first", "n")
+    again = found.where("back > 0").select("doc_id", "first", "n", "back")
+    whole = found.join(joined.where("shared"), ["bucket", "h1", "h2"]).where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "first", "n", F.lit(0).alias("back"))
     branching = joined.groupBy("bucket").agg(F.count("*").alias("paths")).where("paths > 1").drop("paths")
     chosen = joined.join(branching, "bucket").select("source.*")
     edges = written(opened(docs, chosen, window, id_col, text_col))
     least = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
-    single = edges.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", F.col("at").alias("first"), F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    single = edges.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", F.col("at").alias("first"), F.lit(1).alias("n"), F.lit(0).alias("back"))
+    return whole.unionByName(single).unionByName(again)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, kmer: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +143,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, kmer: int = 10, id_col: st
     """
     kind = docs.schema[id_col].dataType.simpleString()
     runs = repeated_runs(docs, window, kmer, id_col, text_col)
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "back")).alias("runs"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +153,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, kmer: int = 10, id_col: st
             out: list[tuple] = []
             for text, found in zip(b.column(1), b.column(2), strict=True):
                 w = words_of(text.as_py())
-                edge = np.zeros(len(w) + 1, np.int64)
-                for r in found.as_py() or ():
-                    edge[r["first"]] += 1
-                    edge[r["first"] + r["n"] + window - 1] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
+                runs, edge = found.as_py() or (), np.zeros(len(w) + 1, np.int64)
+                for r in runs:
+                    if not r["back"]:
+                        edge[r["first"]] += 1
+                        edge[r["first"] + r["n"]] -= 1
+                starts = np.cumsum(edge)[:-1] > 0
+                for a, n, back in [(r["first"], r["n"], r["back"]) for r in runs if r["back"]] if starts.any() else ():
+                    starts[a : a + n] |= starts[a - back : a - back + n]
+                on = np.diff(np.concatenate([[False], starts, [False]]).astype(np.int8))
+                edge = np.zeros(len(w) + window, np.int64)
+                np.add.at(edge, np.flatnonzero(on > 0), 1)
+                np.add.at(edge, np.flatnonzero(on < 0) + window - 1, -1)
+                gone = np.cumsum(edge)[: len(w)] > 0
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)
                 at = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
                 out.append((len(w), int(gone.sum()), kept, [{"start": s, "end": e} for s, e in zip(at[::2], at[1::2], strict=True)]))

@@ -48,6 +48,28 @@ def test_removal_equals_brute_force(spark, table):
         assert all(sum(s["end"] - s["start"] for s in spans[i]) == got[i][1] for i in got)
 
 
+def doubled(seed, n=30):
+    """Documents whose passages, parts of them in smaller documents, come again and again in them."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"u{rng.randrange(10**9)}" for _ in range(k)]
+    docs = []
+    for i in range(n):
+        x = fresh(rng.randint(8, 25))
+        block = fresh(rng.randint(0, 12)) + x + fresh(rng.randint(0, 12))
+        twice = [w for _ in range(rng.randint(2, 4)) for w in (*block, *fresh(rng.randint(0, 9)))]
+        docs += [(10 * i, " ".join(fresh(4) + x + fresh(4))), (10 * i + 5, " ".join(fresh(3) + twice))]
+        if i % 3 == 0:
+            docs.append((10 * i + 7, " ".join(block + fresh(3) + block)))
+    return docs
+
+
+def test_removal_takes_every_copy_in_a_document(spark, table):
+    for seed, (window, kmer) in enumerate([(8, 3), (12, 5)]):
+        docs = doubled(seed)
+        found = substring_dedup.remove_repeats(table(docs).repartition(3), window, kmer)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found.collect()} == brute_removal(docs, window)
+
+
 def test_removal_edges(spark, table):
     got = substring_dedup.remove_repeats(table(EDGE)).collect()
     by = {r.doc_id: r for r in got}

@@ -21,7 +21,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?<![a-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|credentials?|auth|(?:api|access|private|client|secret|signing|encryption)[ _-]?key)"""
+    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|credentials?|auth|(?:api|access|private|client|secret|signing|encryption)[ _-]?key)"""
     r"""["']?\x20*(?::=|=>|->|[:=])\x20*["']?([^\x00-\x20"'<>,;|]{6,})""", re.I | re.A)
 HINTS = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"bearer", b"credential", b"auth", b"key")
 #: Words that guessers try first, commonest first.
@@ -98,7 +98,10 @@ def guess_cost(value: str) -> float:
 
 
 def find_secrets(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, value start) in code points, by start and then kind; the base kinds stay whatever the cost."""
+    """(kind, start, end, value start) in code points, by start and then kind; the base kinds stay whatever the cost.
+
+    A guess within one assignment isn't listed again; one that goes on where the assignment's pattern ends is.
+    """
     text = text or ""
     spans = []
     raw = text.encode("utf-8", "surrogatepass").lower()
@@ -114,7 +117,7 @@ def find_secrets(text: str | None, threshold: float = THRESHOLD) -> list[tuple[s
             b -= len(m[1]) - len(m[1].rstrip(".!?)]}"))
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if b - a >= 6 and not (at < len(taken) and taken[at][0] < b) and guess_cost(text[a:b]) >= threshold:
+            if b - a >= 6 and not (at < len(taken) and taken[at][0] <= a and b <= taken[at][1]) and guess_cost(text[a:b]) >= threshold:
                 spans.append(("guess", a, b, a))
     if "AKIA" in text:
         spans += [("access", *m.span(), m.start()) for m in ACCESS.finditer(text)]

@@ -137,6 +137,17 @@ def test_guess_cost_is_the_cheapest_segmentation(value):
     assert abs(secrets.guess_cost(value) - brute_cost(value)) < 1e-9
 
 
+def test_values_that_go_on_after_an_assignment_are_hidden_whole():
+    text = "token = 'hunter22#Xq9!vT4z' end"
+    found = secrets.find_secrets(text)
+    assert [(k, text[v:b]) for k, _, b, v in found] == [("assign", "hunter22"), ("guess", "hunter22#Xq9!vT4z")]
+    assert secrets.redacted(text, found) == "token = '[SECRET]' end"
+    for name in ("userPassword", "dbpassword", "myToken", "db2pwd"):
+        text = f"{name}: x9#Kq2!Lm8 and so on"
+        assert secrets.redacted(text, secrets.find_secrets(text)) == f"{name}: [SECRET] and so on"
+    assert [s[0] for s in secrets.find_secrets("pwd: token=hunter22xkq9; password=hunter22xkq9.")] == ["assign", "assign"]
+
+
 def test_guess_cost_orders_values():
     weak = ["password", "qwertyuiop", "aaaaaaaaaa", "19870412", "abcabcabc", "dragon123456", "required", "placeholder"]
     strong = ["x9Kq2!Lm8#", "b7db7aa4a5fcc78305", "Zr4-tM9_pQ71"]

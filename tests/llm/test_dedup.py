@@ -155,6 +155,47 @@ def test_near_duplicates_edges(spark, table):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 4, 5] and "runs" in kept.columns
 
 
+def near_copies(seed):
+    """Texts with copies in which words are changed at random places, short and empty ones among them."""
+    rng = random.Random(seed)
+    docs = [(900, None), (901, ""), (902, "two words"), (903, "Two words")]
+    for i in range(40):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([12, 100, 300]))]
+        docs.append((2 * i, " ".join(base)))
+        for j in range(rng.randint(0, 3)):
+            base = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            docs.append((1000 + 10 * i + j, " ".join(base)))
+    return docs
+
+
+def brute_near(docs, k, least):
+    sets = {}
+    for i, t in docs:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and (sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) > 0):
+                lo, hi = sorted((root[i], root[j]))
+                root = {x: lo if r == hi else r for x, r in root.items()}
+    return root
+
+
+def test_pipeline_stage_finds_near_copies_of_similarity_0_8(spark, table, corpus):
+    import corpus_pipeline
+
+    for docs in (near_copies(1), [(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()]):
+        want = brute_near(docs, 5, 0.8)
+        kept = corpus_pipeline.keep_distinct(spark, table([*docs, (None, docs[-1][1])]).repartition(3), "")
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, r in want.items() if i == r)
+        assert kept.where("doc_id is null").count() == 1
+    assert corpus_pipeline.keep_distinct(spark, table([]), "").count() == 0
+
+
 def test_components_of_a_star_and_a_chain(spark):
     edges = [(1, i) for i in range(2, 300)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (5, 1)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -36,24 +36,72 @@ def test_held_out_text_is_less_of_a_surprise_than_to_the_base(spark):
 
 
 def test_probabilities_sum_to_one(spark, table):
-    """Over every word of a small vocabulary and the unseen one, in one context."""
-    train = [(i, "a b c a b d") for i in range(20) if not lm_score.held_out(i)]
-    asked = [(1000 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "d", "unseen"])]
-    asked = [(i, t) for i, t in asked]
-    got = {r.doc_id: r.score for r in lm_score.score(table(train + asked)).collect()}
-    assert all(x < 0 for x in got.values())
+    """Over every word that was seen, the end and an unseen word, in each context that is asked for all of them."""
+    import numpy as np
+
+    words = [f"w{i}" for i in range(30)]
+    train = [(i, " ".join(words[(i * j) % 30] for j in range(1, 40))) for i in range(60)]
+    held = [i for i in range(1000, 9000) if lm_score.held_out(i)]
+    asked = [(i, f"{c} {w}".strip()) for i, (c, w) in zip(held, [(c, w) for c in ("w0", "w1", "rare") for w in [*words, "unseen", ""]], strict=False)]
+    rows = table([*train, *asked])
+    m = lm_score.fitted(lm_score.in_blocks(rows.select("doc_id", "text"), 10**9)[0], 5, 2, 8.0)
+    assert len(m["known"]) >= 30
+    each = {}
+    for r in lm_score.answered(m).collect():
+        e = np.frombuffer(r.entries, lm_score.PRICED)
+        steps = e["p"].astype(np.int64) @ [1, 256, 65536]
+        for k, x in zip(e["k"].tolist(), steps.tolist(), strict=True):
+            assert each.setdefault((r.word, k), x) == x
+    sums, kinds = {}, {}
+    for (_, k), x in each.items():
+        sums[k] = sums.get(k, 0) + 10 ** (-x * lm_score.STEP)
+        kinds[k] = kinds.get(k, 0) + 1
+    whole = [k for k, n in kinds.items() if n == m["v"] + 1]
+    assert len(whole) >= 2 and any(k >= lm_score.CLASSES for k in whole)
+    assert all(abs(sums[k] - 1) < 2e-6 for k in whole), {k: sums[k] for k in whole}
+
+
+def test_scores_do_not_depend_on_partitions_or_id_types(spark, corpus):
+    score = lambda df, **k: {str(r.doc_id): round(r.score, 6) for r in lm_score.score(df, **k).collect()}
+    one = score(corpus)
+    assert one == score(corpus.repartition(5), block_bytes=20_000) == score(corpus.selectExpr("cast(doc_id as string) as doc_id", "text").repartition(2))
+
+
+def test_pairs_of_words_are_learned(spark, table):
+    """What follows a word tells it from its class: scores beat the best model of single words."""
+    import random
+
+    rng = random.Random(3)
+    after = {f"c{i}x": [f"n{rng.randrange(200)}" for _ in range(3)] for i in range(40)}
+    text = lambda: " ".join(f"{c} {rng.choice(after[c])}" for c in rng.choices(list(after), k=60))
+    scored = lm_score.score(table([(i, text()) for i in range(200)]), rarer=4.0).where("held_out").groupBy().sum("score", "n_tokens").first()
+    per_token = scored[0] / scored[1]
+    best_of_single_words = (math.log10(1 / 80) + math.log10(1 / 240)) / 2
+    assert per_token > best_of_single_words + 0.3
+
+
+def seated_alone(c, a, d, seed):
+    import numpy as np
+
+    return lm_score.seated(c, a, d, lm_score._mixed(np.arange(len(c), dtype=np.uint64) + np.uint64(seed)))
+
+
+def exact_tables(c, weight, d):
+    """The mean of t under weights S(c, t) * weight^t, S the generalised Stirling numbers of discount d."""
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0] + [(row[t - 1] if t <= len(row) else 0) + ((n - t * d) * row[t] if t < len(row) else 0) for t in range(1, n + 2)]
+    p = [x * weight**t for t, x in enumerate(row)]
+    return sum(t * x for t, x in enumerate(p)) / sum(p)
 
 
-def test_seating_by_the_mean_of_many_draws():
+def test_seating_against_the_exact_posterior():
+    """Beyond 48 customers steps are rougher: a tenth."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    c, a, d = np.full(4000, 400), np.full(4000, 5.0), 0.5
-    quick = lm_score.seated(c, a, d, rng)
-    slow = np.ones(4000)
-    for i in range(1, 400):
-        slow += rng.random(4000) < a / (a + i - d * slow)
-    assert abs(quick.mean() / slow.mean() - 1) < 0.05 and quick.min() >= 1
+    for c, a, d in ((2, 0.05, 0.5), (5, 0.02, 0.7), (12, 0.1, 0.3), (30, 0.01, 0.8), (40, 2.0, 0.5), (150, 0.3, 0.6)):
+        mean = seated_alone(np.full(40_000, c), np.full(40_000, a), d, 7).mean()
+        assert abs(mean / exact_tables(c, a, d) - 1) < (0.03 if c < 48 else 0.1), (c, a, d, mean)
 
 
 def mixed(df, **k):

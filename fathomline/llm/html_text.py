@@ -1,9 +1,10 @@
 """Layout-aware text of HTML pages: a tree with implied tags, visibility, then blocks, lists and aligned tables.
 
 All visible text comes out once, in document order. Paragraph-like blocks are set apart by an empty line, other
-blocks by a line end; list items have a bullet or number and the indent of their depth; cells of a row stand on
-one line, padded to their column. Each page is parsed in one pass and laid out by an explicit stack,
-so that neither its length nor its depth matters.
+blocks by a line end; list items have a bullet or number and the indent of their depth; cells start in their column, whatever
+rows and columns they and their neighbours span, and have their own lines, blocks, lists and tables inside them. Each page is
+parsed in one pass, and tables are laid out from the innermost out, by explicit stacks, so that neither its
+length nor its depth matters.
 """
 
 from __future__ import annotations
@@ -36,16 +37,21 @@ IMPLIED |= {
 HELD = {"table": (), "td": ("table",), "th": ("table",), "tr": ("table",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: A cell wider than this doesn't widen its column.
-WIDEST = 40
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: Cells are wrapped at spaces to lines of this width; a longer word widens its column, and is cut into lines from LONG_WORD on.
+WRAP, LONG_WORD = 100, 1000
+#: Fixed limits of HTML: columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "seen")
+    """seen: displayed at all. shown: its own text is visible, which elements inside may turn on or off again."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], seen: bool) -> None:
-        self.tag, self.attrs, self.children, self.seen = tag, attrs, [], seen
+    __slots__ = ("tag", "attrs", "children", "seen", "shown", "lines")
+
+    def __init__(self, tag: str, attrs: dict[str, str], seen: bool, shown: bool = True) -> None:
+        self.tag, self.attrs, self.children, self.seen, self.shown, self.lines = tag, attrs, [], seen, shown, []
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -89,7 +95,8 @@ def parse(html: str) -> Node:
         if name not in HEAD and places.get("head"):
             close(places["head"][-1])  # content that a head can't hold begins the body
         attrs = _attributes(m[3])
-        node = Node(name, attrs, _visible(name, attrs))
+        own = _VISIBILITY.findall(attrs.get("style", ""))
+        node = Node(name, attrs, _visible(name, attrs), own[-1].lower() == "visible" if own else stack[-1].shown)
         stack[-1].children.append(node)
         if name in RAW:
             close_tag = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -135,59 +142,100 @@ class Lines:
         return "".join(self.out).strip("\n")
 
 
-def _flat(node: Node) -> str:
-    """A subtree on one line."""
-    parts, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x.seen:
-            edge = x.tag in BLOCK or x.tag in ("br", "td", "th")
-            todo += [*([" "] if edge else []), *reversed(x.children), *([" "] if edge else [])]
-    return " ".join("".join(parts).split())
-
-
 def _number(text: str, default: int) -> int:
     return int(text) if re.fullmatch(r"-?\d{1,6}", text.strip()) else default
 
 
-def table_lines(table: Node) -> list[str]:
-    """The rows of a table, its own text outside of cells first; a cell that spans columns leaves the others empty."""
-    rows, loose, todo = [], [], [table]
+def _wrapped(line: str) -> list[str]:
+    """A line cut at spaces into lines of WRAP characters or fewer, but for longer words."""
+    if len(line) <= WRAP:
+        return [line]
+    out, now = [], ""
+    for word in line.split(" "):
+        if now and len(now) + 1 + len(word) > WRAP:
+            out.append(now)
+            now = word
+        else:
+            now = f"{now} {word}" if now or out else word
+        while len(now) > LONG_WORD:
+            out.append(now[:LONG_WORD])
+            now = now[LONG_WORD:]
+    return [*out, now]
+
+
+def _cells(table: Node) -> tuple[list[str], list[list[tuple[int, int, Node]]]]:
+    """The table's own text outside of cells, and its rows of (column, columns spanned, cell), placed as HTML's table model does."""
+    rows, loose, todo, held = [], [], [table], {}
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
+        if x is None:  # the end of a row group, beyond which no cell spans
+            held = {}
+        elif isinstance(x, str):
             loose.append(x)
         elif not x.seen:
             continue
-        elif x.tag == "tr":
-            row = []
-            for c in x.children:
+        elif x.tag in ("tr", "td", "th"):
+            row, at = [], 0
+            for c in x.children if x.tag == "tr" else [x]:
                 if isinstance(c, str):
-                    loose.append(c)
+                    loose.append(c if x.shown else "")
+                elif c.tag not in ("td", "th"):
+                    loose.append(" ".join(["", *layout(c), ""]))
                 elif c.seen:
-                    row += [_flat(c), *[""] * (min(_number(c.attrs.get("colspan", ""), 1), 1000) - 1)]
+                    while held.get(at):
+                        at += 1
+                    wide = min(max(1, _number(c.attrs.get("colspan", ""), 1)), MOST_COLUMNS)
+                    deep = _number(c.attrs.get("rowspan", ""), 1)
+                    for i in range(at, at + wide):
+                        held[i] = (min(deep, MOST_ROWS) if deep > 0 else MOST_ROWS if deep == 0 else 1)
+                    row.append((at, wide, c))
+                    at += wide
+            held = {i: n - 1 for i, n in held.items() if n > 1}
             rows.append(row)
         elif x.tag in ("table", "tbody", "thead", "tfoot", "colgroup") and (x is table or x.tag != "table"):
-            todo += reversed(x.children)
-        elif x.tag in ("td", "th"):
-            rows.append([_flat(x)])
+            if x.tag != "table":
+                held = {}
+                todo.append(None)
+            todo += [c for c in reversed(x.children) if x.shown or not isinstance(c, str)]
         else:
-            loose.append(" " + _flat(x) + " ")
-    width: list[int] = []
-    for row in rows:
-        width += [0] * (len(row) - len(width))
-        for i, c in enumerate(row):
-            if len(c) <= WIDEST:
-                width[i] = max(width[i], len(c))
-    first = " ".join("".join(loose).split())
-    return ([first] if first else []) + [line for row in rows if (line := "  ".join(c.ljust(w) for c, w in zip(row, width, strict=False)).rstrip())]
+            loose.append(" ".join(["", *layout(x), ""]))
+    return loose, rows
 
 
-def render(root: Node) -> str:
-    lines, todo, lists = Lines(), [(root, False)], []
-    pre = 0
+def table_lines(table: Node) -> list[str]:
+    """The lines of a table, its own text outside of cells first. A cell's lines begin in its column; a row without text is left out."""
+    loose, rows = _cells(table)
+    laid = [[(at, wide, [part for line in layout(c) for part in _wrapped(line)]) for at, wide, c in row] for row in rows]
+    width: dict[int, int] = {}
+    for row in laid:
+        for at, wide, lines in row:
+            for i in range(at, at + wide):
+                width.setdefault(i, 0)
+            if wide == 1:
+                width[at] = max(width[at], max(map(len, lines), default=0))
+    for at, wide, lines in sorted((c for row in laid for c in row if c[1] > 1), key=lambda c: c[1]):
+        width[at + wide - 1] += max(0, max(map(len, lines), default=0) - sum(width[i] for i in range(at, at + wide)))
+    starts, total = {}, 0
+    for i in range(max(width, default=-1) + 1):
+        starts[i] = total
+        total += width.get(i, 0) + 2
+    first = " ".join("".join(loose).split())
+    out = [first] if first else []
+    for row in laid:
+        if not any(any(lines) for _, _, lines in row):
+            continue
+        for i in range(max(len(lines) for _, _, lines in row)):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(starts[at]) + lines[i]
+            out.append(line)
+    return out
+
+
+def layout(top: Node) -> list[str]:
+    """The lines of what is inside an element; tables inside it have been laid out before."""
+    lines, todo, lists, pre = Lines(), [(top, False)], [], 0
     while todo:
         x, done = todo.pop()
         if isinstance(x, str):
@@ -207,9 +255,9 @@ def render(root: Node) -> str:
             lines.space = False
         elif x.tag == "table":
             lines.block(2)
-            for line in table_lines(x):
-                lines.add(line, kept=True)
-                lines.block(1)
+            for line in x.lines:
+                lines.add(line, kept=True) if line else None
+                lines.block(1 if line else 2)
             lines.block(2)
         else:
             if x.tag in BLOCK:
@@ -218,14 +266,31 @@ def render(root: Node) -> str:
             if x.tag in ("td", "th"):
                 lines.add(" ")
             if x.tag in LISTS:
-                lists.append([x.tag, _number(x.attrs.get("start", ""), 1)])
+                items = sum(not isinstance(c, str) and c.tag == "li" and c.seen for c in x.children)
+                back = "reversed" in x.attrs and x.tag == "ol"
+                lists.append([x.tag, _number(x.attrs.get("start", ""), items if back else 1), -1 if back else 1])
             elif x.tag == "li":
-                kind = lists[-1] if lists else ["ul", 1]
-                lines.lead = "  " * max(0, len(lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
-                kind[1] += 1
+                kind = lists[-1] if lists else ["ul", 1, 1]
+                kind[1] = _number(x.attrs.get("value", ""), kind[1])
+                if x.shown:
+                    lines.lead = "  " * max(0, len(lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
+                kind[1] += kind[2]
             pre += x.tag == "pre"
-            todo += [(c, False) for c in reversed(x.children)]
-    return "\n".join(line.rstrip() for line in lines.text().split("\n")).strip("\n")
+            todo += [(c, False) for c in reversed(x.children) if x.shown or not isinstance(c, str)]
+    return "\n".join(line.rstrip() for line in lines.text().split("\n")).strip("\n").split("\n")
+
+
+def render(root: Node) -> str:
+    tables, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, str) and x.seen:
+            if x.tag == "table":
+                tables.append(x)
+            todo += reversed(x.children)
+    for t in reversed(tables):  # those inside others come later in the page
+        t.lines = table_lines(t)
+    return "\n".join(layout(root)).strip("\n")
 
 
 def html_to_text(html: str | None) -> str:

@@ -189,6 +189,47 @@ def test_html_words_survive(parts):
     assert got == want or Counter("".join(sorted(want.elements()))) == Counter("".join(sorted(got.elements())))
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+    ("<table><tr><td>x<td colspan=2 rowspan=2>yy<td>z<tr><td>p<td>q</table>", "x  yy    z\np        q"),
+    ("<table><tr><td>a<br>bb<td><ul><li>c<li>d</ul></table>", "a   - c\nbb  - d"),
+    ("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table></table>", "a  b   c\n   dd  e"),
+    ("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>", "b"),
+    ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"), ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"),
+    ("<table><tr><td>" + "w" * 60 + "<td>a<tr><td>b<td>c</table>", "w" * 60 + "  a\nb" + " " * 61 + "c")])
+def test_html_layout(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_html_cells_start_in_their_columns(spans):
+    """Against a grid that is filled square by square: cells of one column begin at one place, and columns are in order."""
+    html, grid, place, n = "<table>", {}, {}, 0
+    for y, row in enumerate(spans):
+        html += "<tr>"
+        for wide, deep in row:
+            x = next(i for i in range(100) if (i, y) not in grid)
+            grid |= {(i, j): n for i in range(x, x + wide) for j in range(y, y + deep)}
+            html += f"<td colspan={wide} rowspan={deep}>c{n:03d}"
+            place[f"c{n:03d}"] = x
+            n += 1
+    got = {}
+    for line in html_text.html_to_text(html + "</table>").split("\n"):
+        for name in line.split():
+            got.setdefault(place[name], set()).add(line.index(name))
+    assert set(got) == set(place.values()) and all(len(x) == 1 for x in got.values())
+    at = [min(got[x]) for x in sorted(got)]
+    assert at == sorted(set(at))
+
+
+def test_html_long_cells_lose_nothing():
+    words = [f"word{i}" for i in range(3000)] + ["x" * 2500]
+    got = html_text.html_to_text(f"<table><tr><td>{' '.join(words)}<td>next</table>")
+    assert "".join(got.replace("next", "", 1).split()) == "".join(words) and max(map(len, got.split("\n"))) < 1100
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (None, "")], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(pages).collect()) == [(0, ""), (1, "a"), (1, "a"), (2, "")]

@@ -186,8 +186,9 @@ def _cells(table: Node) -> tuple[list[str], list[list[tuple[int, int, Node]]]]:
                         at += 1
                     wide = min(max(1, _number(c.attrs.get("colspan", ""), 1)), MOST_COLUMNS)
                     deep = _number(c.attrs.get("rowspan", ""), 1)
-                    for i in range(at, at + wide):
-                        held[i] = (min(deep, MOST_ROWS) if deep > 0 else MOST_ROWS if deep == 0 else 1)
+                    deep = min(deep, MOST_ROWS) if deep > 0 else MOST_ROWS if deep == 0 else 1
+                    for i in range(at, at + wide):  # a cell may span one that comes down from above
+                        held[i] = max(deep, held.get(i, 0))
                     row.append((at, wide, c))
                     at += wide
             held = {i: n - 1 for i, n in held.items() if n > 1}

@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and guess-cost estimates of values that stand where credentials stand.
 
 The guess cost of a value is the base-10 logarithm of the guesses that its cheapest segmentation takes. Segments are
-listed words, other runs of letters, dates, repeats, keyboard or alphabet walks, and brute-force characters.
+listed words, spelled words, dates, repeats, keyboard or alphabet walks, and brute-force characters. A spelled word is one that can
+be said: each letter costs by how vowels and consonants follow each other, little where they take turns and up to what brute force
+costs where they don't, so that long words of a language stay cheap and random letters don't, in any language of these letters.
 """
 
 from __future__ import annotations
@@ -31,8 +33,12 @@ default example sample changeme placeholder none null true false value string ke
 server database company private public service access account money freedom whatever trustno qazwsx starwars""".split()
 #: Rows along which fingers walk.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-#: log10 of the guesses for a run of letters that isn't listed, for a walk's start and each further key, and for opening a segment.
-LETTERS, WALK_START, WALK_STEP, SEGMENT = 5.3, 1.6, 0.2, 0.3
+#: log10 of the guesses for a walk's start and each further key, and for opening a segment.
+WALK_START, WALK_STEP, SEGMENT = 1.6, 0.2, 0.3
+#: log10 of the guesses for a spelled word's first letter, for one that takes turns with the one before (vowel and consonant), for the
+#: second, third and further ones of a kind in a row, for a change of case inside a word, and for a letter of a script without case.
+FIRST, TURN, IN_A_ROW, CASE, UNCASED = 1.0, 0.35, (0.7, 1.1, 1.415), 0.6, 0.4
+VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ")
 #: Guess cost from which a value in a credential's place counts as a secret.
 THRESHOLD = 8.0
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -71,8 +77,6 @@ def _segments(value: str) -> Iterator[tuple[int, int, float]]:
         yield a, b, _char_cost(value[a]) + log10(b - a)
     for a, b in _runs(low, lambda x, y: (x, y) in _NEXT):
         yield a, b, WALK_START + WALK_STEP * (b - a)
-    for a, b in _runs(low, lambda x, y: x.isalpha() and y.isalpha()):
-        yield a, b, LETTERS + (0.3 if value[a:b] != low[a:b] else 0)
     for n in range(2, min(9, len(value) // 2 + 1)):  # a block of n characters again and again
         a = 0
         while a + 2 * n <= len(value):
@@ -84,16 +88,36 @@ def _segments(value: str) -> Iterator[tuple[int, int, float]]:
             a = max(a + 1, b - n + 1)
 
 
+def _spelled(value: str) -> Iterator[float | None]:
+    """What each letter costs as one more of a spelled word, None for other characters."""
+    row = 0
+    for i, c in enumerate(value):
+        before = value[i - 1] if i and value[i - 1].isalpha() else ""
+        if not c.isalpha():
+            yield None
+        elif not before:
+            row = 0
+            yield FIRST
+        elif c.lower() == c.upper():
+            yield UNCASED
+        else:
+            row = row + 1 if (c.lower() in VOWELS) == (before.lower() in VOWELS) else 0
+            inside = i > 1 and value[i - 2].isalpha() or c.isupper()  # Word and WORD, but not wORD or WoRD
+            yield (IN_A_ROW[min(row, 3) - 1] if row else TURN) + (CASE if inside and c.isupper() != before.isupper() else 0)
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation of a value; 0 for an empty one."""
     ends: dict[int, list[tuple[int, float]]] = {}
     for a, b, cost in _segments(value):
         ends.setdefault(b, []).append((a, cost + SEGMENT))
-    best, brute = [0.0], [float("inf")]  # brute: the last segment is brute force, which opens once
-    for i in range(1, len(value) + 1):
+    # brute and spelled: the last segment is brute force or a spelled word, which opens once
+    best, brute, spelled = [0.0], float("inf"), float("inf")
+    for i, letter in enumerate(_spelled(value), 1):
         c = _char_cost(value[i - 1])
-        brute.append(min(brute[-1] + c, best[i - 1] + c + SEGMENT))
-        best.append(min([brute[-1], *(best[a] + cost for a, cost in ends.get(i, ()))]))
+        brute = min(brute + c, best[i - 1] + c + SEGMENT)
+        spelled = float("inf") if letter is None else min(spelled + letter, best[i - 1] + max(letter, FIRST) + SEGMENT)
+        best.append(min([brute, spelled, *(best[a] + cost for a, cost in ends.get(i, ()))]))
     return best[-1]
 
 

@@ -127,7 +127,9 @@ def brute_cost(value):
     for b in range(1, len(value) + 1):
         for a in range(b):
             brute = secrets.SEGMENT + sum(map(secrets._char_cost, value[a:b]))
-            best[b] = min([best[b], best[a] + brute, *(best[a] + c + secrets.SEGMENT for x, y, c in segments if (x, y) == (a, b))])
+            letters = list(secrets._spelled(value))[a:b]
+            said = 1e9 if None in letters else secrets.SEGMENT + max(letters[0], secrets.FIRST) + sum(letters[1:])
+            best[b] = min([best[b], best[a] + brute, best[a] + said, *(best[a] + c + secrets.SEGMENT for x, y, c in segments if (x, y) == (a, b))])
     return best[-1]
 
 
@@ -151,9 +153,17 @@ def test_values_that_go_on_after_an_assignment_are_hidden_whole():
 def test_guess_cost_orders_values():
     weak = ["password", "qwertyuiop", "aaaaaaaaaa", "19870412", "abcabcabc", "dragon123456", "required", "placeholder"]
     strong = ["x9Kq2!Lm8#", "b7db7aa4a5fcc78305", "Zr4-tM9_pQ71"]
+    weak += ["authentication", "configured", "Strength", "vergessen", "contraseña", "nécessaire"]
+    strong += ["hGjKzQvXbNmLpRtYwsDfCxZq", "qkzjxhvwmbtrplsdfgn", "kqzjxhvwmbtrplsd"]
     assert max(map(secrets.guess_cost, weak)) < secrets.THRESHOLD < min(map(secrets.guess_cost, strong))
 
 
+def test_random_letters_are_found_and_prose_is_not():
+    for text in ("pwd: hGjKzQvXbNmLpRtYwsDfCxZq", 'api key: "qkzjxhvwmbtrplsdfgn"', "auth = kqzjxhvwmbtrplsd"):
+        assert [s[0] for s in secrets.find_secrets(text)] == ["guess"]
+    assert not secrets.find_secrets("passphrase: required for everyone. auth: authentication by card; pwd = something else")
+
+
 def test_context_values_are_found_and_hidden(spark, table):
     text = 'db pwd: "x9Kq2!Lm8#" and passphrase is long; auth: required. api_key=abcdef123'
     kinds = [s[0] for s in secrets.find_secrets(text)]

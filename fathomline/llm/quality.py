@@ -1,6 +1,7 @@
 """Quality rules as a bitmask ledger: measure once, keep failure bits, apply versioned policies afterwards.
 
-Every expression is a built-in function; a text is measured in its own row and nothing is shuffled.
+Every expression is a built-in function; a text is measured in its own row and nothing is shuffled. The ledger is written
+once, and verdicts, policies and ablations read it alone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import SPACE, words
+from fathomline.llm.common import SPACE, words, written
 
 #: The n-gram of repeated words and the characters counted as symbols.
 WINDOW, SYMBOLS = 5, "#*$%&|<>"
@@ -39,18 +40,15 @@ RULES = (
 POLICIES = {"base": 0b0000011, "v1": 0b1111111}
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document with MEASURES; keep: columns carried along (the id alone by default)."""
-    kept = keep or [id_col]
-    text, inner = F.coalesce(F.col(text_col), F.lit("")), [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
-    back = [F.col(f"k{i}").alias(c) for i, c in enumerate(kept)]
-    carry = [f"k{i}" for i in range(len(kept))]
-    d = docs.select(*inner, text.alias("t"), words(F.col(text_col)).alias("w"),
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document with its id and MEASURES; the id may be a struct of columns to carry along."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).alias("k"), text.alias("t"), words(F.col(text_col)).alias("w"),
                     F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0).alias("lines"))
     n = F.size("w")
     grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
     d = d.select(
-        *carry, n.cast("long").alias("n_words"), F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
+        "k", n.cast("long").alias("n_words"), F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("w", lambda x: x.endswith("!!"))).cast("long").alias("n_shouts"),
@@ -63,7 +61,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     d = d.withColumn("at", F.array_sort(F.transform(found, lambda x: x["i"])))
     covers = F.transform("at", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("at", j + 1) - x, F.lit(WINDOW))).cast("long"))
     d = d.withColumn("n_repeat_words", F.aggregate(covers, F.lit(0).cast("long"), lambda a, x: a + x))
-    return d.select(*back, *MEASURES)
+    return d.select(F.col("k").alias(id_col), *MEASURES)
 
 
 def failed_bits(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -73,14 +71,19 @@ def failed_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     return bits
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures of each row and fail_bits, in which each rule of `rules` has set its bit where it fails.
 
     A null, empty or blank text has zero for every measure and so fails few_words; repeated rows stay; other
-    columns aren't read unless named in keep. A text of any length is measured whole. An empty table gives an
+    columns aren't read. A text of any length is measured whole. An empty table gives an
     empty ledger.
     """
-    return measured(docs, id_col, text_col, keep).withColumn("fail_bits", failed_bits(rules))
+    return measured(docs, id_col, text_col).withColumn("fail_bits", failed_bits(rules))
+
+
+def stored_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written to the shared folder and read again: any number of policies and ablations cost no text."""
+    return written(ledger(docs, rules, id_col, text_col))
 
 
 def verdicts(book: DataFrame, policy: str = "v1") -> DataFrame:
@@ -104,11 +107,12 @@ def ablation(book: DataFrame, policy: str = "v1", rules: tuple[Rule, ...] = RULE
     )
 
 
-def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns as they were.
+def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, with their columns as they were, whatever their names.
 
     The row number beside the ledger isn't deterministic, so that the filter stays above it: pushed down, it would
     be written out over every use of every measure in it.
     """
-    book = ledger(docs, keep=docs.columns).withColumn("_at", F.monotonically_increasing_id())
-    return verdicts(book, policy).where("kept and _at >= 0").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    book = ledger(rows, id_col="row").withColumn("_at", F.monotonically_increasing_id())
+    return verdicts(book, policy).where("kept and _at >= 0").select("row.*")

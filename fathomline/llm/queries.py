@@ -60,7 +60,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
+    book = quality.verdicts(quality.stored_ledger(table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base"])) != 0
     return book.select("doc_id", *quality.MEASURES[:5], base.alias("base_failed"), "kept", "fail_bits")
 

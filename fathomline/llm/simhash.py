@@ -29,6 +29,8 @@ from fathomline.llm.components import components
 #: Random candidates per fingerprint that a grid may give; the least number of groups that its cells hold equal; members from
 #: which a cell is cut again.
 CANDIDATES, LEAST_LEVEL, LARGE_CELL = 16, 4, 64
+#: Fingerprints whose cells one task makes.
+CELLS_OF = 20_000
 #: Bits of choice in the popcounts of one two-bit segment, by its collision probability of 3/8.
 SEGMENT_BITS, SEGMENTS = 1.415, 32
 
@@ -101,9 +103,11 @@ def fingerprint_components(fps: DataFrame, distance: int = 4) -> DataFrame:
     n = fps.count()
     masks = cell_masks(list(range(SEGMENTS)), distance, grid_level(n, distance))
     choices = F.array(*[F.lit(signed(m)) for m in masks])
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // CELLS_OF)
 
     def cells(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn("v", _embedded(F.col("fp"))).select(*rows.columns, "v", F.posexplode(choices).alias("c", "m"))
+        # a given number of tasks: what is small before rows become many cells would else be merged into few
+        keyed = rows.repartition(parts, "fp").withColumn("v", _embedded(F.col("fp"))).select(*rows.columns, "v", F.posexplode(choices).alias("c", "m"))
         return keyed.withColumn("key", F.col("v").bitwiseAND(F.col("m"))).drop("m")
 
     plain = cells(fps.select("fp")).drop("v")

@@ -277,3 +277,19 @@ def test_quality_ablation(spark):
 def test_quality_runs_without_python(spark, corpus):
     plan = quality.verdicts(quality.ledger(corpus))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_kept_rows_have_their_columns_as_they_were(spark):
+    rows = [(1, "ten words are what it takes to be kept here now", "mine", 7, None), (2, "few", "mine", 7, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int, `a.b` string").selectExpr("*", "1 as fail_bits", "2 as k", "3 as row", "4 as _at", "5 as t", "6 as w")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and kept.collect() == df.where("doc_id = 1").collect()
+
+
+def test_a_stored_ledger_serves_policies_and_ablations(spark, corpus):
+    book = quality.stored_ledger(corpus)
+    assert sorted(book.collect()) == sorted(quality.ledger(corpus).collect())
+    base = quality.verdicts(book, "base").where("kept").count()
+    lost = {r.rule: r.n_only_this for r in quality.ablation(book).collect()}
+    without = book.where(f"fail_bits & {quality.POLICIES['v1'] & ~4} = 0").count() - quality.verdicts(book).where("kept").count()
+    assert base >= quality.verdicts(book).where("kept").count() and lost["symbols"] == without

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo
@@ -13,7 +13,7 @@ from fathomline.functions import geo
 HOPS = 8
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir; one of our own only where it is unset."""
     import tempfile
 
@@ -35,8 +35,8 @@ def relax(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("node",),
     ks, to = list(keys), [f"to_{k}" for k in keys]
     both_ends = edges.select(*ks).unionByName(edges.select(*[F.col(t).alias(k) for k, t in zip(ks, to, strict=True)])).distinct()
     stay = both_ends.select(*ks, *[F.col(k).alias(t) for k, t in zip(ks, to, strict=True)], F.lit(0.0).alias("step"))
-    steps = _checkpoint(edges.select(*ks, *to, F.col("step").cast("double").alias("step")).unionByName(stay))
-    best = _checkpoint(start.select(*ks, "cost"))
+    steps = checkpoint(edges.select(*ks, *to, F.col("step").cast("double").alias("step")).unionByName(stay))
+    best = checkpoint(start.select(*ks, "cost"))
     front = best
     for _ in range(most):
         tried = front
@@ -45,12 +45,12 @@ def relax(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("node",),
             tried = tried.groupBy(*ks).agg(F.min("cost").alias("cost"))
         joined = tried.withColumnRenamed("cost", "new").join(best, ks, "full")
         joined = joined.withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-9)))
-        state = _checkpoint(joined.select(*ks, F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), "better"))
+        state = checkpoint(joined.select(*ks, F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), "better"))
         front = state.where("better").drop("better")
         best = state.drop("better")
         if front.isEmpty():
-            break
-    return best
+            return best
+    raise ValueError(f"costs still improve after {most} rounds of {HOPS} hops: is there a cycle of negative steps?")
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -110,18 +110,3 @@ def searched(corridors: DataFrame, cap: float) -> DataFrame:
         return pd.DataFrame({"voyage_id": [key[0]], "profile": [key[1]], "cost": [search(edges, rows["start"].iloc[0], rows["goal"].iloc[0], cap)]})
 
     return corridors.groupBy("voyage_id", "profile").applyInPandas(one, "voyage_id long, profile string, cost double")
-
-
-def refine(spark: SparkSession, price, search_cost, rounds: int, converged: float) -> list[tuple[int, float]]:
-    """Rounds of pricing with new arrivals and searching again, until the cost changes by less than `converged`.
-
-    price(arrivals or None) -> edges; search_cost(edges) -> (cost, arrivals). Each round is materialised by its search.
-    """
-    found: list[tuple[int, float]] = []
-    arrivals = None
-    for i in range(rounds):
-        cost, arrivals = search_cost(price(arrivals))
-        found.append((i, cost))
-        if i and abs(found[-2][1] - cost) <= converged * max(abs(found[-2][1]), 1e-12):
-            break
-    return found

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo
+from fathomline.operators.graph import checkpoint
 
 KM_PER_DEGREE = 111.19
 
@@ -19,22 +20,25 @@ def key_ranges(df: DataFrame, key: str, parts: int = 256) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= F.col(key)))
 
 
-def _cells(df: DataFrame, lat: str, lon: str, km: float, widest: float) -> DataFrame:
-    size = km / KM_PER_DEGREE
-    return df.withColumns({"_i": F.floor(F.col(lat) / size).cast("long"), "_j": F.floor(F.col(lon) / (size / widest)).cast("long")})
+def _cells(df: DataFrame, lat: str, lon: str, size: float, columns: int) -> DataFrame:
+    """Rows and columns of cells; columns go round the globe, so that both sides of the date line are neighbours."""
+    column = F.pmod(F.floor((F.col(lon) + 180.0) / (360.0 / columns)).cast("long"), F.lit(columns))
+    return df.withColumns({"_i": F.floor(F.col(lat) / size).cast("long"), "_j": column.cast("long")})
 
 
 def within(points: DataFrame, others: DataFrame, km: float) -> DataFrame:
     """points (lat, lon, ...) joined with others (lat_o, lon_o, ...) up to km away, with column km.
 
-    Cells are as large as the radius at the highest latitude there is, so that a point looks into nine of them. Joined
-    rows grow with the points within reach of each other, as the result does.
+    Cells are as large as the radius at the highest latitude there is, so that a point looks into nine of them; where a pole
+    is within reach, one column holds all longitudes. Joined rows grow with the points within reach of each other, as the result does.
     """
     top = max([abs(x) for x in points.agg(F.max(F.abs("lat"))).first() if x is not None] + [abs(x) for x in others.agg(F.max(F.abs("lat_o"))).first() if x is not None] + [0.0])
-    widest = max(cos(radians(min(89.0, top + km / KM_PER_DEGREE))), 0.01)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = _cells(points, "lat", "lon", km, widest).withColumn("_n", F.explode(near)).withColumns({"_i": F.col("_i") + F.col("_n.i"), "_j": F.col("_j") + F.col("_n.j")}).drop("_n")
-    j = p.join(_cells(others, "lat_o", "lon_o", km, widest), ["_i", "_j"]).drop("_i", "_j")
+    size = km / KM_PER_DEGREE
+    columns = 1 if top + size >= 89.0 else max(1, int(360.0 * cos(radians(top + size)) // size))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)[3 - min(columns, 3) :]])
+    p = _cells(points, "lat", "lon", size, columns).withColumn("_n", F.explode(near))
+    p = p.withColumns({"_i": F.col("_i") + F.col("_n.i"), "_j": F.pmod(F.col("_j") + F.col("_n.j"), F.lit(columns)).cast("long")}).drop("_n")
+    j = p.join(_cells(others, "lat_o", "lon_o", size, columns), ["_i", "_j"]).drop("_i", "_j")
     return j.withColumn("km", geo.haversine_km("lat", "lon", "lat_o", "lon_o")).where(F.col("km") <= km)
 
 
@@ -42,7 +46,8 @@ def nearest(points: DataFrame, key: str, others: DataFrame, other_key: str, k: i
     """The k nearest others of each point with km and rank (1 first); equal distances, to a millimetre, by other_key.
 
     Points that have fewer than k within the radius try twice the radius, until all have k or the limit is
-    reached; a point's k nearest within a radius are its k nearest.
+    reached; a point's k nearest within a radius are its k nearest. What a round has found and what is left are written,
+    so that no round runs again.
     """
     out, left, km = None, points, start_km
     while True:
@@ -50,11 +55,11 @@ def nearest(points: DataFrame, key: str, others: DataFrame, other_key: str, k: i
         rank = F.row_number().over(Window.partitionBy(key).orderBy("km", other_key))
         ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
         full = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-        done = (full if km >= limit_km else full.where(F.col("_n") == k)).drop("_n")
+        done = checkpoint((full if km >= limit_km else full.where(F.col("_n") == k)).drop("_n"))
         out = done if out is None else out.unionByName(done)
         if km >= limit_km:
             return out
-        left = left.join(done.select(key).distinct(), key, "left_anti")
+        left = checkpoint(left.join(done.select(key).distinct(), key, "left_anti"))
         if left.isEmpty():
             return out
         km *= 2
@@ -70,10 +75,14 @@ def hex_lattice(nodes: DataFrame, spacing: float, most: int) -> DataFrame:
     """hex_id, lat, lon over the bounding box of nodes: odd rows shifted by half, every ceil(n / most)-th point kept."""
     box = nodes.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
     step = spacing * 3**0.5 / 2
-    rows = box.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) / step))).alias("i"))
-    shift = F.when(F.col("i") % 2 == 1, spacing / 2).otherwise(0.0)
-    cells = rows.withColumn("x0", F.col("c") + shift).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("d") - F.col("x0")) / spacing))).alias("j"))
-    p = cells.select("i", "j", (F.col("a") + F.col("i") * step).alias("lat"), (F.col("x0") + F.col("j") * spacing).alias("lon"))
-    n, seq = F.count("*").over(Window.partitionBy(F.lit(0))), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i", "j")) - 1  # a lattice over one box
-    p = p.withColumns({"n": n, "seq": seq}).withColumn("stride", F.ceil(F.col("n") / most))
+    rows = box.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / step))).alias("i"))
+    # even and odd rows have the same number of points each, so that a point's place needs no window over all of them
+    points = lambda shift: F.floor((F.col("d") - F.col("c") - shift) / spacing) + 1
+    even, odd, n_rows = points(0.0), points(spacing / 2), F.floor((F.col("b") - F.col("a")) / step) + 1
+    odd_row, before = F.col("i") % 2 == 1, F.floor(F.col("i") / 2)
+    rows = rows.withColumns({
+        "x0": F.col("c") + F.when(odd_row, spacing / 2).otherwise(0.0), "first": before * (even + odd) + F.when(odd_row, even).otherwise(0),
+        "stride": F.ceil((F.ceil(n_rows / 2) * even + F.floor(n_rows / 2) * odd) / most)})
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("d") - F.col("x0")) / spacing))).alias("j"))
+    p = cells.select("stride", (F.col("first") + F.col("j")).alias("seq"), (F.col("a") + F.col("i") * step).alias("lat"), (F.col("x0") + F.col("j") * spacing).alias("lon"))
     return p.where((F.col("seq") % F.col("stride") == 0) & (F.col("seq") / F.col("stride") < most)).select(F.col("seq").cast("long").alias("hex_id"), "lat", "lon")

@@ -22,11 +22,14 @@ class Params:
     safety_from: float = 0.25
     safety_factor: float = 10.0
     turn_cap_deg: float = 165.0
-    turn_penalty: float = 0.0
     horizon_h: int = 72
     idw_neighbours: int = 6
     impute_neighbours: int = 4
     rounds: int = 3
+    #: pixels a side
+    vector_grid: int = 72
+    severity_grid: int = 180
+    risk_raster: int = 512
     converged: float = 0.01
     co2_factor: float = 3.114
     attach_km: float = 35.0

@@ -120,7 +120,7 @@ def endpoint_pairs(spark, d):
     v, nodes = fx.voyages(spark, d), _others(fx.nav_nodes(spark, d))
     k = F.col("key")
     points = v.select(F.explode(F.array("start_key", "end_key")).alias("key")).distinct().select("key", fx.lat_of(k).alias("lat"), fx.lon_of(k).alias("lon"))
-    near = graph._checkpoint(spatial.nearest(points, "key", nodes, "node_id", 3, 30.0).select("key", "node_id", "km"))
+    near = graph.checkpoint(spatial.nearest(points, "key", nodes, "node_id", 3, 30.0).select("key", "node_id", "km"))
     a = near.select(F.col("key").alias("start_key"), F.col("node_id").alias("start_node"), F.col("km").alias("km_a"))
     b = near.select(F.col("key").alias("end_key"), F.col("node_id").alias("end_node"), F.col("km").alias("km_b"))
     p = v.join(a, "start_key").join(b, "end_key").withColumn("km", r(F.col("km_a") + F.col("km_b")))
@@ -460,51 +460,51 @@ def merge_arrivals(spark, d):
     return a.join(b, "node_id", "full").select("node_id", F.coalesce("b", "a").alias("wind_speed"))
 
 
-#: Rows and columns of the rasters that are queried.
-RASTER = 24
-GRID = f"SELECT r_, c_, a + (b - a) * r_ / {RASTER - 1}e0 AS lat, c + (dd - c) * c_ / {RASTER - 1}e0 AS lon FROM (SELECT MIN(lat) - 0.3e0 AS a, MAX(lat) + 0.3e0 AS b, MIN(lon) - 0.3e0 AS c, MAX(lon) + 0.3e0 AS dd FROM nav_nodes) CROSS JOIN (SELECT CAST(range AS BIGINT) AS r_ FROM range({RASTER})) CROSS JOIN (SELECT CAST(range AS BIGINT) AS c_ FROM range({RASTER}))"
+def _grid_sql(n: int) -> str:
+    return f"SELECT r_, c_, a + (b - a) * r_ / {n - 1}e0 AS lat, c + (dd - c) * c_ / {n - 1}e0 AS lon FROM (SELECT MIN(lat) - 0.3e0 AS a, MAX(lat) + 0.3e0 AS b, MIN(lon) - 0.3e0 AS c, MAX(lon) + 0.3e0 AS dd FROM nav_nodes) CROSS JOIN (SELECT CAST(range AS BIGINT) AS r_ FROM range({n})) CROSS JOIN (SELECT CAST(range AS BIGINT) AS c_ FROM range({n}))"
 
 
-def _grid(nodes):
+def _grid(nodes, n):
+    """n x n pixels over the nodes and a margin."""
     box = nodes.agg((F.min("lat") - 0.3).alias("a"), (F.max("lat") + 0.3).alias("b"), (F.min("lon") - 0.3).alias("c"), (F.max("lon") + 0.3).alias("dd"))
-    seq = F.sequence(F.lit(0).cast("long"), F.lit(RASTER - 1).cast("long"))
-    g = box.select("*", F.explode(seq).alias("r_")).select("*", F.explode(seq).alias("c_"))
-    at = lambda lo, hi, i: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(i) / float(RASTER - 1)
-    return g.select("r_", "c_", (F.col("r_") * RASTER + F.col("c_")).alias("pixel"), at("a", "b", "r_").alias("lat"), at("c", "dd", "c_").alias("lon"))
+    seq = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    g = box.select("*", F.explode(seq).alias("r_")).repartition(8, "r_").select("*", F.explode(seq).alias("c_"))
+    at = lambda lo, hi, i: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(i) / float(n - 1)
+    return g.select("r_", "c_", (F.col("r_") * n + F.col("c_")).alias("pixel"), at("a", "b", "r_").alias("lat"), at("c", "dd", "c_").alias("lon"))
 
 
-def _near_pixels(spark, d, k):
+def _near_pixels(spark, d, n, k):
     w = fx.wx_obs(spark, d).where("step_h = 0")
     known = fx.nav_nodes(spark, d).join(w, "node_id").withColumnsRenamed({"lat": "lat_o", "lon": "lon_o"})
-    return spatial.nearest(_grid(fx.nav_nodes(spark, d)), "pixel", known, "node_id", k, 80.0)
+    return spatial.nearest(_grid(fx.nav_nodes(spark, d), n), "pixel", known, "node_id", k, 80.0)
 
 
-PIX = f"SELECT g.r_, g.c_, {o.r(o.km('g.lat', 'g.lon', 'n.lat', 'n.lon'))} AS km, n.node_id AS o, w.*, row_number() OVER (PARTITION BY g.r_, g.c_ ORDER BY {o.r(o.km('g.lat', 'g.lon', 'n.lat', 'n.lon'))}, n.node_id) AS k FROM g CROSS JOIN nav_nodes n JOIN wx_obs w ON w.node_id = n.node_id AND w.step_h = 0"
+PIX = f"SELECT g.r_, g.c_, {o.r(o.km('g.lat', 'g.lon', 'n.lat', 'n.lon'))} AS km, n.node_id AS o, w.*, row_number() OVER (PARTITION BY g.r_, g.c_ ORDER BY {o.r(o.km('g.lat', 'g.lon', 'n.lat', 'n.lon'))}, n.node_id) AS k FROM g CROSS JOIN nav_nodes n JOIN wx_obs w ON w.node_id = n.node_id AND w.step_h = 0 WHERE ABS(g.lat - n.lat) < 3 AND ABS(g.lon - n.lon) < 3"
 
 
-@query(o.over(f"SELECT r_, c_, {o.r('SUM(x * -wind_speed * SIN(RADIANS(wind_dir))) / SUM(x)', 4)} AS u, {o.r('SUM(x * -wind_speed * COS(RADIANS(wind_dir))) / SUM(x)', 4)} AS v FROM (SELECT *, 1e0 / GREATEST(km * km, 1e-12) AS x FROM p WHERE k <= 8) GROUP BY 1, 2", "nav_nodes", "wx_obs", g=GRID, p=PIX))
+@query(o.over(f"SELECT r_, c_, {o.r('SUM(x * -wind_speed * SIN(RADIANS(wind_dir))) / SUM(x)', 4)} AS u, {o.r('SUM(x * -wind_speed * COS(RADIANS(wind_dir))) / SUM(x)', 4)} AS v FROM (SELECT *, 1e0 / GREATEST(km * km, 1e-12) AS x FROM p WHERE k <= 8) GROUP BY 1, 2", "nav_nodes", "wx_obs", g=_grid_sql(DEFAULT.vector_grid), p=PIX))
 def vector_field(spark, d):
     """Wind components on a grid by the eight nearest observations, inverse squares as weights."""
     u, v = geo.uv_from("wind_speed", "wind_dir")
-    p = _near_pixels(spark, d, 8).withColumns({"w": 1.0 / F.greatest(F.col("km") * F.col("km"), F.lit(1e-12)), "u": u, "v": v})
+    p = _near_pixels(spark, d, DEFAULT.vector_grid, 8).withColumns({"w": 1.0 / F.greatest(F.col("km") * F.col("km"), F.lit(1e-12)), "u": u, "v": v})
     return p.groupBy("r_", "c_").agg(r(_mean(F.col("u")), 4).alias("u"), r(_mean(F.col("v")), 4).alias("v"))
 
 
-@query(o.over(f"SELECT r_, c_, {o.r(f'LEAST(GREATEST(100e0 * {o.risk()}, 0e0), 100e0)', 2)} AS risk FROM p WHERE k = 1", "nav_nodes", "wx_obs", g=GRID, p=PIX))
+@query(o.over(f"SELECT r_, c_, {o.r(f'LEAST(GREATEST(100e0 * {o.risk()}, 0e0), 100e0)', 2)} AS risk FROM p WHERE k = 1", "nav_nodes", "wx_obs", g=_grid_sql(DEFAULT.severity_grid), p=PIX))
 def severity_grid_nearest(spark, d):
-    return _near_pixels(spark, d, 1).select("r_", "c_", r(geo.clamp(100.0 * risk.safety_risk(*WX), 0, 100), 2).alias("risk"))
+    return _near_pixels(spark, d, DEFAULT.severity_grid, 1).select("r_", "c_", r(geo.clamp(100.0 * risk.safety_risk(*WX), 0, 100), 2).alias("risk"))
 
 
-@query(o.over("SELECT r_, c_, wind_speed FROM p WHERE k = 1", "nav_nodes", "wx_obs", g=GRID, p=PIX))
+@query(o.over("SELECT r_, c_, wind_speed FROM p WHERE k = 1", "nav_nodes", "wx_obs", g=_grid_sql(DEFAULT.vector_grid), p=PIX))
 def wind_grid_nearest(spark, d):
-    return _near_pixels(spark, d, 1).select("r_", "c_", "wind_speed")
+    return _near_pixels(spark, d, DEFAULT.vector_grid, 1).select("r_", "c_", "wind_speed")
 
 
-@query(o.over(f"SELECT r_, c_, {o.r('SUM(x * s) / SUM(x)', 3)} AS risk, {o.r('SUM(x)', 3)} AS weight FROM (SELECT *, EXP(-km * km / (2e0 * 3600e0)) AS x, {o.severity()} AS s FROM p WHERE km <= 100e0) GROUP BY 1, 2", "nav_nodes", "wx_obs", g=GRID, p=PIX))
+@query(o.over(f"SELECT r_, c_, {o.r('SUM(x * s) / SUM(x)', 3)} AS risk, {o.r('SUM(x)', 3)} AS weight FROM (SELECT *, EXP(-km * km / (2e0 * 3600e0)) AS x, {o.severity()} AS s FROM p WHERE km <= 100e0) GROUP BY 1, 2", "nav_nodes", "wx_obs", g=_grid_sql(DEFAULT.risk_raster), p=PIX))
 def risk_raster(spark, d):
     """Gaussian splats of severity: sums of weights up to 100 km away, and the weighted mean."""
     w = fx.nav_nodes(spark, d).join(fx.wx_obs(spark, d).where("step_h = 0"), "node_id").withColumn("s", risk.display_severity(*WX)).withColumnsRenamed({"lat": "lat_o", "lon": "lon_o"})
-    p = spatial.within(_grid(fx.nav_nodes(spark, d)), w, 101.0).withColumn("km", r("km")).where("km <= 100").withColumn("w", F.exp(-F.col("km") * F.col("km") / 7200.0))
+    p = spatial.within(_grid(fx.nav_nodes(spark, d), DEFAULT.risk_raster), w, 101.0).withColumn("km", r("km")).where("km <= 100").withColumn("w", F.exp(-F.col("km") * F.col("km") / 7200.0))
     return p.groupBy("r_", "c_").agg(r(_mean(F.col("s")), 3).alias("risk"), r(F.sum("w"), 3).alias("weight"))
 
 
@@ -543,7 +543,7 @@ def refine_rounds(spark, d):
     e = edge_ends(spark, d).withColumn("heading", geo.bearing(*ENDS_AT))
     inside = near.withColumnRenamed("node_id", "src").join(e, "src").join(near.withColumnRenamed("node_id", "dst"), ["start_key", "dst"]).join(ends, "start_key").join(at("start", "s"), "start").join(at("goal", "g"), "goal")
     way = geo.haversine_km("lat_s", "lon_s", "lat1", "lon1") / F.greatest(geo.haversine_km("lat_s", "lon_s", "lat_g", "lon_g"), F.lit(1e-9))
-    edges = graph._checkpoint(inside.withColumn("way", F.least(way, F.lit(1.0))).drop("lat_s", "lon_s", "lat_g", "lon_g"))
+    edges = graph.checkpoint(inside.withColumn("way", F.least(way, F.lit(1.0))).drop("lat_s", "lon_s", "lat_g", "lon_g"))
     wx = fx.wx_obs(spark, d).withColumnRenamed("node_id", "src")
     last = ends.select("start_key", F.lit(0.0).alias("before"))
     out = None
@@ -552,10 +552,10 @@ def refine_rounds(spark, d):
         p = edges.join(last, "start_key").withColumn("step_h", (3 * F.floor(hour / 3.0 + 0.5)).cast("long")).join(wx, ["src", "step_h"], "left")
         hours = vessel.performance("distance_nm", "wave_height", "wave_dir", "wind_speed", "wind_dir", "current_vel", "current_dir", "heading")["hours"]
         long = p.select(F.col("start_key").alias("voyage_id"), F.lit("fastest").alias("profile"), "src", "dst", F.col("heading").alias("bearing"), hours.alias("cost"), "start", "goal")
-        found = graph._checkpoint(graph.searched(long, DEFAULT.turn_cap_deg).where("cost is not null").select(F.col("voyage_id").alias("start_key"), F.lit(i).cast("long").alias("round"), "cost"))
+        found = graph.checkpoint(graph.searched(long, DEFAULT.turn_cap_deg).where("cost is not null").select(F.col("voyage_id").alias("start_key"), F.lit(i).cast("long").alias("round"), "cost"))
         out = found if out is None else out.unionByName(found)
         moved = found.join(last, "start_key").where(F.abs(F.col("cost") - F.col("before")) > DEFAULT.converged * F.abs(F.col("before")))
-        last = graph._checkpoint(moved.select("start_key", F.col("cost").alias("before")))
+        last = graph.checkpoint(moved.select("start_key", F.col("cost").alias("before")))
         if last.isEmpty():
             break
     return out.select("start_key", "round", r("cost", 4).alias("hours"))

@@ -99,3 +99,32 @@ def test_relax_equals_search_without_turns(spark):
             if a in want and want[a] + c < want.get(b, 1e18) - 1e-9:
                 want[b], again = want[a] + c, True
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_nearest_and_within_go_round_the_globe(spark):
+    """Against brute force, on both sides of the date line and at the poles."""
+    import math
+    import random
+
+    from fathomline.operators import spatial
+
+    rng = random.Random(5)
+    at = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90), rng.uniform(-5, 5)]), rng.choice([rng.uniform(-180, 180), rng.uniform(179, 180), rng.uniform(-180, -179)]))
+    points, others = [(i, *at()) for i in range(60)], [(i, *at()) for i in range(150)]
+    p, o = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(others, "other long, lat_o double, lon_o double")
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    for radius in (50.0, 400.0, 3000.0):
+        want = {(a[0], b[0]) for a in points for b in others if km(a, b) <= radius}
+        got = [(r.id, r.other) for r in spatial.within(p, o, radius).collect()]
+        assert sorted(got) == sorted(want)
+    low = p.where("abs(lat) < 60"), o.where("abs(lat_o) < 60")
+    want = {(a[0], b[0]) for a in points for b in others if abs(a[1]) < 60 and abs(b[1]) < 60 and km(a, b) <= 400}
+    assert sorted((r.id, r.other) for r in spatial.within(*low, 400.0).collect()) == sorted(want)
+    found = spatial.nearest(p, "id", o, "other", 3, 100.0).collect()
+    for a in points:
+        order = sorted((round(km(a, b), 6), b[0]) for b in others)[:3]
+        assert [r.other for r in sorted((r for r in found if r.id == a[0]), key=lambda r: r["rank"])] == [i for _, i in order]

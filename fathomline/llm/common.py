@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only if it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only if it is unset and all run on this machine."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
-        set_before = spark.sparkContext.getCheckpointDir()
-        own = set_before or tempfile.mkdtemp(prefix="fathomline-")
+        own = spark.sparkContext.getCheckpointDir()
+        if not own and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = own or tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", own)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(own)
@@ -43,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text, unchanged; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -2,8 +2,8 @@
 
 A text is a tree: sections between blank lines, paragraphs between line ends, sentences as leaves. A fingerprint is the root,
 a digest of section digests, each of paragraph digests, each of leaf digests; then '/' and the leaves, so that every
-branch can be derived again: leaves are joined by '.', paragraphs by ',', sections by ';'. Equal roots mean equal
-texts; otherwise the branches that differ tell where texts were edited.
+branch can be derived again: leaves are joined by '.', paragraphs by ',', sections by ';'. Equal texts have equal fingerprints; leaves
+are cut to 48 bits, so that two different texts have equal ones with a chance of 2^-48 for each leaf that differs; otherwise the branches that differ tell where texts were edited.
 """
 
 from __future__ import annotations
@@ -64,8 +64,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, text and next_text of every row: the text of the row after it by id, after the last the first.
 
     Ids are cut into blocks at their quantiles. The first row of each block is put once more at the end of the
-    block before it, so that one exchange by block and a window inside it are enough.
+    block before it, so that one exchange by block and a window inside it are enough. Ids are integers of any width.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} has to be an integer column: its quantiles deal rows into blocks")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = quantile_bounds(rows, "doc_id", min(BLOCKS, max(1, rows.count() // BLOCK)))
     rows = rows.withColumn("block", range_block(F.col("doc_id"), bounds))

@@ -186,9 +186,33 @@ def test_range_blocks(spark):
 
 
 def test_pipeline(spark):
+    """Each stage on what the one before kept: what it does has to be seen in the next one's input, and every kept document is packed whole."""
     import corpus_pipeline
+    from fathomline.llm import common, quality, secrets
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert 0 < out.select("doc_id").distinct().count() < docs.count()
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    leak = "the nightly job of our small team logs in with password: hunter22xkq9 and then copies all files"
+    docs = table.unionByName(table.limit(1).selectExpr("cast(1000000 as long) as doc_id", f"'{leak}' as text", "lang", "source", f"{len(leak)} as n_chars").select(*table.columns).to(table.schema))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "secret scans", "source mixing", "packing"]
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(common.written(stage(spark, kept[-1], "/root/testdata/sf0.001")))
+    good, distinct, hidden, mixed, packed = kept[1:]
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    assert all(df.columns == docs.columns for df in kept[:5])
+    assert ids(good) == {r.doc_id for r in quality.verdicts(quality.ledger(docs)).collect() if r.kept} < ids(docs)
+    assert ids(distinct) < ids(good) and ids(hidden) == ids(distinct) == ids(mixed) == ids(packed)
+    assert any(secrets.find_secrets(r.text) for r in distinct.collect())
+    before, after = ({r.doc_id: r.text for r in df.collect()} for df in (distinct, hidden))
+    for i, t in before.items():
+        values = {t[v:b] for _, _, b, v in secrets.find_secrets(t)}
+        assert (after[i] == t) == (not values) and all(v not in after[i] for v in values)
+    rows = mixed.groupBy("doc_id").count().join(packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}), "doc_id").collect()
+    assert all(r["sum(length)"] == r["count"] * r["max(doc_tokens)"] for r in rows) and len(rows) == len(ids(mixed))
+    whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert ids(whole) == ids(packed) - {1000000}
+
+
+def test_neighbours_need_integer_ids(spark):
+    with pytest.raises(TypeError):
+        merkle.edit_likeness(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -1,9 +1,7 @@
-"""Graph operators: relaxation rounds over edge tables, and a search per voyage in its corridor."""
+"""Graph operators: relaxation rounds over edge tables, and turns."""
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,41 +70,3 @@ def turns(edges: DataFrame, cap: float) -> DataFrame:
     b = edges.select(F.col("src").alias("via"), "dst", "lat1", "lon1", "lat2", "lon2")
     angle = geo.fold(geo.bearing("lat0", "lon0", "lat1", "lon1"), geo.bearing("lat1", "lon1", "lat2", "lon2"))
     return a.join(b, "via").where("src <> dst").withColumn("turn_deg", geo.rounded(angle, 4)).where(F.col("turn_deg") <= cap).select("src", "via", "dst", "turn_deg")
-
-
-def search(edges: list[tuple[int, int, float, float]], start: int, goal: int, cap: float) -> float | None:
-    """Least cost from start to goal over (src, dst, cost, bearing) with turns up to cap; None where there is none."""
-    if start == goal:
-        return 0.0
-    out: dict[int, list] = {}
-    for src, dst, cost, bearing in edges:
-        out.setdefault(src, []).append((dst, cost, bearing))
-    heap = [(cost, start, dst, bearing) for dst, cost, bearing in out.get(start, ())]
-    heapq.heapify(heap)
-    done: set[tuple[int, int]] = set()
-    while heap:
-        cost, before, at, came = heapq.heappop(heap)
-        if at == goal:
-            return cost
-        if (before, at) in done:
-            continue
-        done.add((before, at))
-        for dst, step, bearing in out.get(at, ()):
-            d = abs(bearing - came) % 360.0
-            if dst != before and min(d, 360.0 - d) <= cap and (at, dst) not in done:
-                heapq.heappush(heap, (cost + step, at, dst, bearing))
-    return None
-
-
-def searched(corridors: DataFrame, cap: float) -> DataFrame:
-    """Costs by voyage and profile; corridors: voyage_id, profile, start, goal and the edges of the voyage's corridor.
-
-    A group is one corridor, which its radius bounds; voyages and profiles run side by side.
-    """
-    import pandas as pd
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        edges = list(zip(rows["src"], rows["dst"], rows["cost"], rows["bearing"], strict=True))
-        return pd.DataFrame({"voyage_id": [key[0]], "profile": [key[1]], "cost": [search(edges, rows["start"].iloc[0], rows["goal"].iloc[0], cap)]})
-
-    return corridors.groupBy("voyage_id", "profile").applyInPandas(one, "voyage_id long, profile string, cost double")

@@ -1,0 +1,329 @@
+"""Voyages from end to end: the shortest path, the corridor around it, and turn-capped searches priced at arrival.
+
+Trips are dealt into chunks that start in one tile and hold about TRIPS of them, so that a tile which holds a third of all trips
+is many chunks. A chunk gets the edges around its trips once, by an equi-join of cells; searches run inside the chunk.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fathomline.functions import geo
+from fathomline.operators import spatial
+from fathomline.operators.graph import checkpoint
+from fathomline.params import DEFAULT, Params
+
+#: Trips to a chunk, degrees of a tile of starts and of a cell of nodes, and the farthest that a point of a cell is from its centre.
+TRIPS, TILE, CELL, CELL_KM = 128, 4.0, 1.0, 79.0
+#: No two points are farther apart than twice this; a trip without a path inside such a bound has none.
+GLOBE_KM = 40_076.0
+#: Hours between forecast steps, and their number.
+STEP_H, STEPS = 3, 25
+
+
+class Net:
+    """Edges of a chunk with nodes numbered from 0: what a search walks on."""
+
+    def __init__(self, edges: pd.DataFrame) -> None:
+        ends = np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]).astype(np.int64)
+        self.ids, first, place = np.unique(ends, return_index=True, return_inverse=True)
+        n = len(edges)
+        self.src, self.dst = place[:n], place[n:]
+        self.lat = np.concatenate([edges["lat1"], edges["lat2"]])[first].astype(float)
+        self.lon = np.concatenate([edges["lon1"], edges["lon2"]])[first].astype(float)
+        self.km, self.bearing = edges["km"].to_numpy(float), edges["bearing"].to_numpy(float)
+        self.heads, self.tails, self.kms = self.dst.tolist(), self.src.tolist(), self.km.tolist()
+        self.edge_of = {ends: e for e, ends in enumerate(zip(self.tails, self.heads, strict=True))}
+        #: edge and head of each step from a node, and tail and kilometres of each step to it
+        self.out: list[list[tuple[int, int]]] = [[] for _ in self.ids]
+        self.into: list[list[tuple[int, float]]] = [[] for _ in self.ids]
+        for (a, b), e in self.edge_of.items():
+            self.out[a].append((e, b))
+            self.into[b].append((a, self.kms[e]))
+
+    def place(self, node_id: int) -> int | None:
+        i = int(np.searchsorted(self.ids, node_id))
+        return i if i < len(self.ids) and self.ids[i] == node_id else None
+
+    def km_to(self, lat: float, lon: float) -> np.ndarray:
+        a, b = np.sin(np.radians(self.lat - lat) / 2), np.sin(np.radians(self.lon - lon) / 2)
+        h = np.minimum(1.0, a * a + np.cos(np.radians(self.lat)) * np.cos(np.radians(lat)) * b * b)
+        return 2 * geo.EARTH_KM * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+    def around(self, path: Sequence[int], radius: float) -> np.ndarray:
+        """Which nodes lie within radius of a node of the path, or on it."""
+        near = np.zeros(len(self.ids), bool)
+        for i in path:
+            near |= self.km_to(self.lat[i], self.lon[i]) <= radius
+        near[list(path)] = True
+        return near
+
+    def remaining(self, goal: int, near: np.ndarray) -> np.ndarray:
+        """Kilometres from every node to the goal inside a corridor; infinite where there is no way."""
+        inside, into, pop, push = near.tolist(), self.into, heapq.heappop, heapq.heappush
+        left = [float("inf")] * len(self.ids)
+        left[goal] = 0.0
+        heap = [(0.0, goal)]
+        while heap:
+            far, at = pop(heap)
+            if far > left[at]:
+                continue
+            for to, km in into[at]:
+                if far + km < left[to] and inside[to]:
+                    left[to] = far + km
+                    push(heap, (far + km, to))
+        return np.array(left)
+
+    def turns(self, a: int, b: int, cap: float) -> bool:
+        """Whether edge b may follow edge a: not straight back, and no turn beyond the cap."""
+        d = abs(self.bearing[a] - self.bearing[b]) % 360.0
+        return self.heads[b] != self.tails[a] and min(d, 360.0 - d) <= cap
+
+    def cheapest(self, start: int, goal: int, cost: Sequence[float], least: Sequence[float], cap: float | None = None, inside: Sequence[bool] | None = None) -> list[int] | None:
+        """Edges of a cheapest way from start to goal; None where there is none. `least` never exceeds what is left.
+
+        A way that is cheapest without the cap and keeps to it is cheapest with it, so that turns are searched
+        only where it doesn't.
+        """
+        inside = [True] * len(self.ids) if inside is None else inside
+        free = self._by_nodes(start, goal, cost, least, inside)
+        if free is None or cap is None or all(self.turns(a, b, cap) for a, b in zip(free, free[1:])):
+            return free
+        return self._by_edges(start, goal, cost, least, cap, inside)
+
+    def _by_nodes(self, start: int, goal: int, cost: Sequence[float], least: Sequence[float], inside: Sequence[bool]) -> list[int] | None:
+        out, pop, push, far = self.out, heapq.heappop, heapq.heappush, float("inf")
+        best, came, done = [far] * len(self.ids), [-1] * len(self.ids), [False] * len(self.ids)
+        heap, best[start] = [(least[start], start)], 0.0
+        while heap:
+            at = pop(heap)[1]
+            if done[at]:
+                continue
+            if at == goal:
+                way = []
+                while at != start:
+                    way.append(came[at])
+                    at = self.tails[came[at]]
+                return way[::-1]
+            done[at], spent = True, best[at]
+            for e, to in out[at]:
+                new = spent + cost[e]
+                if new < best[to] and inside[to] and not done[to]:
+                    best[to], came[to] = new, e
+                    push(heap, (new + least[to], to))
+        return None
+
+    def _by_edges(self, start: int, goal: int, cost: Sequence[float], least: Sequence[float], cap: float, inside: Sequence[bool]) -> list[int] | None:
+        """States are edges; -1 is the start, before any edge."""
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap = [(least[start], 0.0, -1)]
+        while heap:
+            _, spent, last = heapq.heappop(heap)
+            at = start if last < 0 else self.heads[last]
+            if last in done:
+                continue
+            done.add(last)
+            if at == goal:
+                way = []
+                while last >= 0:
+                    way.append(last)
+                    last = came[last]
+                return way[::-1]
+            for e, to in self.out[at]:
+                new = spent + cost[e]
+                if inside[to] and e not in done and new < best.get(e, float("inf")) and (last < 0 or self.turns(last, e, cap)):
+                    best[e], came[e] = new, last
+                    heapq.heappush(heap, (new + least[to], new, e))
+        return None
+
+    def between(self, starts: dict[int, float], goals: dict[int, float]) -> tuple[int, list[int]] | None:
+        """The start and the edges of the shortest way from any start to any goal; None where there is none.
+
+        Numbers of starts and goals are what they count beside kilometres: so little that they decide between equal ways alone.
+        """
+        least = np.min([self.km_to(self.lat[g], self.lon[g]) for g in goals], axis=0) * (1 - 1e-9)
+        best, came, done = dict(starts), dict.fromkeys(starts, -1), set()
+        end = len(self.ids)
+        heap = [(least[i] + extra, extra, i) for i, extra in starts.items()]
+        heapq.heapify(heap)
+        while heap:
+            _, spent, at = heapq.heappop(heap)
+            if at == end:
+                at, way = came[end], []
+                while came[at] >= 0:
+                    way.append(came[at])
+                    at = self.tails[came[at]]
+                return at, way[::-1]
+            if at in done:
+                continue
+            done.add(at)
+            if at in goals and spent + goals[at] < best.get(end, float("inf")):
+                best[end], came[end] = spent + goals[at], at
+                heapq.heappush(heap, (best[end], best[end], end))
+            for e, to in self.out[at]:
+                new = spent + self.kms[e]
+                if to not in done and new < best.get(to, float("inf")):
+                    best[to], came[to] = new, e
+                    heapq.heappush(heap, (new + least[to], new, to))
+        return None
+
+    def nodes_of(self, start: int, way: Sequence[int]) -> list[int]:
+        return [start, *(self.heads[e] for e in way)]
+
+
+def _cell(lat: str, lon: str) -> dict[str, Column]:
+    return {"ci": F.floor(F.col(lat) / CELL), "cj": F.floor(F.col(lon) / CELL)}
+
+
+def chunked(trips: DataFrame) -> DataFrame:
+    """Trips (start_key, end_key, lat_a, lon_a, ...) with their chunk."""
+    tile = F.struct(F.floor(F.col("lat_a") / TILE).alias("i"), F.floor(F.col("lon_a") / TILE).alias("j"))
+    t = trips.withColumn("tile", tile)
+    parts = t.groupBy("tile").agg(F.ceil(F.count("*") / TRIPS).alias("parts"))
+    t = t.join(parts, "tile")
+    return t.withColumn("chunk", F.struct("tile.i", "tile.j", F.pmod(F.xxhash64("start_key", "end_key"), "parts").alias("k"))).drop("tile", "parts")
+
+
+def around_areas(areas: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with, as area, the chunks of the areas (chunk, lat, lon, reach) that they start in; whole cells, so a few more."""
+    cells = edges.select(*[c.alias(k) for k, c in _cell("lat1", "lon1").items()]).distinct()
+    cells = cells.withColumns({"lat_o": (F.col("ci") + 0.5) * CELL, "lon_o": (F.col("cj") + 0.5) * CELL})
+    most = areas.agg(F.max("reach")).first()[0] or 0.0
+    near = spatial.within(areas, cells, min(most + CELL_KM, GLOBE_KM / 2)).where(F.col("km") <= F.col("reach") + CELL_KM)
+    return edges.withColumns(_cell("lat1", "lon1")).join(near.select(F.col("chunk").alias("area"), "ci", "cj").distinct(), ["ci", "cj"]).drop("ci", "cj")
+
+
+BASELINE = "start_key long, end_key long, start_node long, end_node long, km double, path array<long>, bound double"
+
+
+def _baselines(trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The shortest of the ways between the candidates of each trip's ends; of equal ones the one with the least snapping."""
+    net, rows = Net(edges), []
+    for t in trips.itertuples():
+        a, b = ({x["node_id"]: x["km"] * 1e-9 for x in side} for side in (t.starts, t.ends))
+        same = min(((a[i] + b[i], i) for i in a.keys() & b.keys()), default=None)
+        starts, goals = ({net.place(i): x for i, x in side.items() if net.place(i) is not None} for side in (a, b))
+        found = net.between(starts, goals) if same is None and starts and goals else None
+        if same is not None:
+            rows.append((t.start_key, t.end_key, same[1], same[1], 0.0, [same[1]], t.bound))
+        elif found is None:
+            rows.append((t.start_key, t.end_key, None, None, None, None, t.bound))
+        else:
+            path = net.ids[net.nodes_of(*found)].tolist()
+            rows.append((t.start_key, t.end_key, path[0], path[-1], sum(net.kms[e] for e in found[1]), path, t.bound))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in BASELINE.split(", ")]).astype({"start_node": "Int64", "end_node": "Int64"})
+
+
+def baselines(trips: DataFrame, edges: DataFrame) -> DataFrame:
+    """start_node, end_node, km and path of each trip's shortest way; trips without any have nulls.
+
+    trips: start_key, end_key, lat_a, lon_a, lat_b, lon_b, and the candidates starts and ends (node_id, km). A way no longer than a bound
+    keeps within (bound + distance) / 2 of its start, so that edges in that disc are enough. A trip whose way is longer than its bound, or that
+    has none, is searched again with the bound of that way, or twice the bound, until the bound is the globe.
+    """
+    gap = lambda c: F.array_max(F.transform(c, lambda x: x["km"]))
+    t = chunked(trips).withColumns({"d": geo.haversine_km("lat_a", "lon_a", "lat_b", "lon_b"), "ka": gap("starts"), "kb": gap("ends")})
+    left, out = t.withColumn("bound", 1.1 * F.col("d") + 100.0), None
+    while True:
+        left = checkpoint(left)
+        tile = lambda x: (F.col(f"chunk.{x}") + 0.5) * TILE
+        reach = (F.col("bound") + F.col("d") + F.col("ka") + F.col("kb")) / 2 + F.col("ka") + geo.haversine_km("lat_a", "lon_a", "lat", "lon")
+        areas = left.withColumns({"lat": tile("i"), "lon": tile("j")}).withColumn("reach", reach).groupBy("chunk", "lat", "lon").agg(F.max("reach").alias("reach"))
+        found = left.groupBy("chunk").cogroup(around_areas(areas, edges).groupBy("area")).applyInPandas(lambda a, b: _baselines(a, b), BASELINE)
+        found = checkpoint(found)
+        sure = F.coalesce(F.col("km") <= F.col("bound"), F.lit(False)) | (F.col("bound") >= GLOBE_KM)
+        done = found.where(sure).drop("bound")
+        out = done if out is None else out.unionByName(done)
+        again = found.where(~sure).select("start_key", "end_key", F.coalesce("km", 2 * F.col("bound")).alias("bound"))
+        left = left.drop("bound").join(again, ["start_key", "end_key"])
+        if again.isEmpty():
+            return out
+
+
+def corridor_radius(wind: Column) -> Column:
+    """Kilometres around a path by its strongest wind; 150 where none is known."""
+    return F.when(wind.isNull(), 150).when(wind >= 120, 2000).when(wind >= 80, 1000).when(wind >= 45, 600).otherwise(400).cast("double")
+
+
+def with_radius(found: DataFrame, wind: DataFrame, most: int = 45) -> DataFrame:
+    """Baselines with radius_km, from the wind (node_id, wind_speed) at up to `most` evenly spaced nodes of the path."""
+    stride = F.ceil(F.size("path") / most)
+    at = found.select("start_key", "end_key", F.explode(F.filter("path", lambda _, i: i % stride == 0)).alias("node_id"))
+    top = at.join(wind, "node_id", "left").groupBy("start_key", "end_key").agg(F.max(F.nullif(F.col("wind_speed"), F.lit(0.0))).alias("w"))
+    return found.join(top, ["start_key", "end_key"]).withColumn("radius_km", corridor_radius(F.col("w"))).drop("w")
+
+
+SEARCHED = ("start_key long, end_key long, profile string, radius_km double, corridor_nodes long, round long, baseline_cost double, cost double, best_cost double, hours double, "
+            "km double, path array<long>")
+
+
+def _refined(trips: pd.DataFrame, edges: pd.DataFrame, p: Params) -> pd.DataFrame:
+    net, rows = Net(edges), []
+    costs = {c: np.array(edges[c].tolist(), float).reshape(len(edges), STEPS) for c in edges.columns if c.startswith("cost_") or c == "hours"}
+    for t in trips.itertuples():
+        path = [net.place(x) for x in t.path]
+        if len(path) < 2 or None in path:
+            rows += [(t.start_key, t.end_key, f, t.radius_km, 1, 0, 0.0, 0.0, 0.0, 0.0, 0.0, list(t.path)) for f in t.profiles]
+            continue
+        base = [net.edge_of[x] for x in zip(path, path[1:])]
+        near = net.around(path, t.radius_km)
+        inside, left = near.tolist(), net.remaining(path[-1], near)
+        first = np.floor(np.maximum(0.0, t.km - np.where(np.isfinite(left), left, t.km)) / p.km_per_hour)
+        for profile in t.profiles:
+            rows += _rounds(net, costs, t, profile, path, base, near, inside, left, first, p)
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SEARCHED.split(", ")])
+
+
+def _rounds(net: Net, costs: dict, t, profile: str, path: list[int], base: list[int], near, inside, left, first, p: Params) -> list[tuple]:
+    """One row a round: prices at the arrivals known, the cheapest way, arrivals along it; until the price settles."""
+    arrival, before, best, rows, base_cost = first.copy(), None, float("inf"), [], None
+    both = near[net.src] & near[net.dst]
+    for i in range(p.rounds):
+        step = np.minimum(np.floor(arrival / STEP_H + 0.5), STEPS - 1).astype(int)[net.src]
+        pick = np.arange(len(step))
+        cost, hours = costs[f"cost_{profile}"][pick, step], costs["hours"][pick, step]
+        # no edge is cheaper a kilometre than this, and no way shorter than what remains
+        rate = float(np.min(cost[both] / np.maximum(net.km[both], 1e-9))) * (1 - 1e-9)
+        least = np.where(np.isfinite(left), left * rate, 0.0).tolist()
+        if base_cost is None:
+            base_cost = float(cost[base].sum())
+            best, best_way = base_cost, base
+        way = net.cheapest(path[0], path[-1], cost.tolist(), least, p.turn_cap_deg, inside)
+        if way is None:
+            rows.append((t.start_key, t.end_key, profile, t.radius_km, int(near.sum()), i, base_cost, None, best, float(hours[best_way].sum()), float(net.km[best_way].sum()), net.ids[net.nodes_of(path[0], best_way)].tolist()))
+            break
+        now, nodes = float(cost[way].sum()), net.nodes_of(path[0], way)
+        if now < best:
+            best, best_way = now, way
+        rows.append((t.start_key, t.end_key, profile, t.radius_km, int(near.sum()), i, base_cost, now, best, float(hours[best_way].sum()), float(net.km[best_way].sum()), net.ids[net.nodes_of(path[0], best_way)].tolist()))
+        if before is not None and before > 0 and abs(before - now) / before < p.converged:
+            break
+        arrival[nodes], before = np.concatenate([[0.0], np.cumsum(hours[way])]), now
+    return rows
+
+
+def searched(trips: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One row a trip, profile and round of refinement: what the way costs, and the best one so far with its path.
+
+    trips: baselines with radius_km, lat_a, lon_a and profiles (an array). edges: src, dst, km, bearing, ends' coordinates, and arrays of hours and
+    of cost_<profile> for each forecast step, so that prices are computed once for all trips and a search picks the step of its arrival.
+    """
+    t = checkpoint(chunked(trips.where("path is not null")))
+    at = t.select("chunk", "radius_km", F.explode("path").alias("src")).groupBy("chunk", "src").agg(F.max("radius_km").alias("radius_km"))
+    where = edges.groupBy("src").agg(F.first("lat1").alias("lat1"), F.first("lon1").alias("lon1"))
+    cells = at.join(where, "src").withColumns(_cell("lat1", "lon1")).groupBy("chunk", "ci", "cj").agg((F.max("radius_km") + CELL_KM).alias("reach"))
+    areas = cells.select("chunk", "reach", ((F.col("ci") + 0.5) * CELL).alias("lat"), ((F.col("cj") + 0.5) * CELL).alias("lon"))
+    return t.groupBy("chunk").cogroup(around_areas(areas, edges).groupBy("area")).applyInPandas(lambda a, b: _refined(a, b, p), SEARCHED)
+
+
+def last_round(found: DataFrame) -> DataFrame:
+    w = Window.partitionBy("start_key", "end_key", "profile").orderBy(F.desc("round"))
+    return found.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

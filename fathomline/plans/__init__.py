@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from fathomline.plans import routes, scalars, spatial
+    from fathomline.plans import routes, scalars, spatial, voyages
 
-    return (scalars, routes, spatial)
+    return (scalars, routes, spatial, voyages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

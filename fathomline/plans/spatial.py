@@ -397,39 +397,14 @@ def baseline_path_cost(spark, d):
 
 @query()
 def node_arrival_hours(spark, d):
-    """Hours at which a voyage to the last node passes each node, by what remains of the whole distance."""
+    """Hours at which a voyage from the first node to the last one passes each node, by what remains of its distance."""
     e = fx.nav_edges(spark, d).select(F.col("dst").alias("node"), F.col("src").alias("to_node"), F.col("distance_km").alias("step"))
-    goal = fx.nav_nodes(spark, d).agg(F.max("node_id").alias("node")).withColumn("cost", F.lit(0.0))
-    left = graph.relax(goal, e)
-    total = left.agg(F.max("cost")).first()[0]
+    ends = fx.nav_nodes(spark, d).agg(F.min("node_id").alias("first"), F.max("node_id").alias("last"))
+    left = graph.relax(ends.select(F.col("last").alias("node"), F.lit(0.0).alias("cost")), e)
+    total = left.join(ends, F.col("node") == F.col("first"), "left_semi").agg(F.max("cost")).first()[0] or 0.0
     return left.select("node", F.floor(F.greatest(F.lit(0.0), F.lit(total) - F.col("cost")) / DEFAULT.km_per_hour).alias("arrival_h"))
 
 
-def _corridors(spark, d, costs: dict[str, str]):
-    """Edges near a voyage's start, with its goal in the corridor's far corner, once per profile."""
-    n = fx.nav_nodes(spark, d)
-    near = spatial.within(_start_points(spark, d), _others(n), 90.0).select("start_key", "node_id")
-    ends = near.groupBy("start_key").agg(F.min("node_id").alias("start"), F.max("node_id").alias("goal"))
-    e = priced_edges(spark, d).select("src", "dst", F.col("heading").alias("bearing"), *[F.expr(x).alias(k) for k, x in costs.items()])
-    inside = near.withColumnRenamed("node_id", "src").join(e, "src").join(near.withColumnRenamed("node_id", "dst"), ["start_key", "dst"])
-    long = inside.select("start_key", "src", "dst", "bearing", F.inline(F.array(*[F.struct(F.lit(k).alias("profile"), F.col(k).alias("cost")) for k in costs])))
-    return long.join(ends, "start_key").withColumnRenamed("start_key", "voyage_id")
-
-
-@query()
-def turn_aware_cost(spark, d):
-    """Cheapest turn-capped path in each start's corridor under each objective."""
-    found = graph.searched(_corridors(spark, d, {k: f"cost_{k}" for k in DEFAULT.profiles}), DEFAULT.turn_cap_deg)
-    return found.select(F.col("voyage_id").alias("start_key"), "profile", r("cost", 4).alias("cost"))
-
-
-@query()
-def pareto_routes(spark, d):
-    """The same search by hours, risk and fuel alone."""
-    found = graph.searched(_corridors(spark, d, {"fastest": "hours", "safest": "risk * distance_nm", "efficient": "fuel_t"}), DEFAULT.turn_cap_deg)
-    return found.select(F.col("voyage_id").alias("start_key"), "profile", r("cost", 4).alias("cost"))
-
-
 @query(o.over(f"SELECT voyage_id, k, {o.r('DEGREES(ATAN2(z, SQRT(x * x + y * y)))')} AS lat, {o.r('DEGREES(ATAN2(y, x))')} AS lon FROM (SELECT voyage_id, k, a * COS(p1) * COS(l1) + b * COS(p2) * COS(l2) AS x, a * COS(p1) * SIN(l1) + b * COS(p2) * SIN(l2) AS y, a * SIN(p1) + b * SIN(p2) AS z FROM (SELECT *, SIN((1e0 - k / 12e0) * dd) / SIN(dd) AS a, SIN(k / 12e0 * dd) / SIN(dd) AS b FROM (SELECT *, {o.hav('DEGREES(p1)', 'DEGREES(l1)', 'DEGREES(p2)', 'DEGREES(l2)', '1e0')} AS dd FROM (SELECT voyage_id, RADIANS(10e0 + 0.2e0 * FLOOR(start_key / 1e2)) AS p1, RADIANS(-60e0 + 0.25e0 * (start_key % 100)) AS l1, RADIANS(10e0 + 0.2e0 * FLOOR(end_key / 1e2)) AS p2, RADIANS(-60e0 + 0.25e0 * (end_key % 100)) AS l2 FROM voyages)) CROSS JOIN (SELECT CAST(range AS BIGINT) AS k FROM range(1, 12)) WHERE dd >= 1e-9))", "voyages"))
 def geodesic_baseline(spark, d):
     """Eleven great-circle points between the ends of a voyage."""
@@ -527,35 +502,3 @@ def call_sessions(spark, d):
     from fathomline.streaming import windows
 
     return windows.sessions(fx.api_calls(spark, d))
-
-
-@query()
-def refine_rounds(spark, d):
-    """Fastest hours through each start's corridor, priced again with the weather at the arrivals of the round before.
-
-    A voyage whose hours change by less than DEFAULT.converged isn't searched again. Each round is written
-    to the checkpoint folder, as the next one's prices need it.
-    """
-    n = fx.nav_nodes(spark, d)
-    near = spatial.within(_start_points(spark, d), _others(n), 90.0).select("start_key", "node_id")
-    ends = near.groupBy("start_key").agg(F.min("node_id").alias("start"), F.max("node_id").alias("goal"))
-    at = lambda k, x: n.select(F.col("node_id").alias(k), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
-    e = edge_ends(spark, d).withColumn("heading", geo.bearing(*ENDS_AT))
-    inside = near.withColumnRenamed("node_id", "src").join(e, "src").join(near.withColumnRenamed("node_id", "dst"), ["start_key", "dst"]).join(ends, "start_key").join(at("start", "s"), "start").join(at("goal", "g"), "goal")
-    way = geo.haversine_km("lat_s", "lon_s", "lat1", "lon1") / F.greatest(geo.haversine_km("lat_s", "lon_s", "lat_g", "lon_g"), F.lit(1e-9))
-    edges = graph.checkpoint(inside.withColumn("way", F.least(way, F.lit(1.0))).drop("lat_s", "lon_s", "lat_g", "lon_g"))
-    wx = fx.wx_obs(spark, d).withColumnRenamed("node_id", "src")
-    last = ends.select("start_key", F.lit(0.0).alias("before"))
-    out = None
-    for i in range(DEFAULT.rounds):
-        hour = F.least(F.col("way") * F.col("before"), F.lit(float(DEFAULT.horizon_h)))
-        p = edges.join(last, "start_key").withColumn("step_h", (3 * F.floor(hour / 3.0 + 0.5)).cast("long")).join(wx, ["src", "step_h"], "left")
-        hours = vessel.performance("distance_nm", "wave_height", "wave_dir", "wind_speed", "wind_dir", "current_vel", "current_dir", "heading")["hours"]
-        long = p.select(F.col("start_key").alias("voyage_id"), F.lit("fastest").alias("profile"), "src", "dst", F.col("heading").alias("bearing"), hours.alias("cost"), "start", "goal")
-        found = graph.checkpoint(graph.searched(long, DEFAULT.turn_cap_deg).where("cost is not null").select(F.col("voyage_id").alias("start_key"), F.lit(i).cast("long").alias("round"), "cost"))
-        out = found if out is None else out.unionByName(found)
-        moved = found.join(last, "start_key").where(F.abs(F.col("cost") - F.col("before")) > DEFAULT.converged * F.abs(F.col("before")))
-        last = graph.checkpoint(moved.select("start_key", F.col("cost").alias("before")))
-        if last.isEmpty():
-            break
-    return out.select("start_key", "round", r("cost", 4).alias("hours"))

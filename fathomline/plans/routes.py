@@ -323,3 +323,43 @@ def number(df, key: str):
     before = b.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
     return b.withColumn("rank", rank).join(F.broadcast(before.select("part", "before")), "part").withColumn("row", F.col("rank") + F.col("before")).drop("part", "rank", "before")
+
+
+#: What one user may call in a minute, an hour and a day before it has to wait.
+USER_LIMITS = {"minute": 2, "hour": 5, "day": 20}
+
+
+@query(o.over("SELECT event_id, " + ", ".join(f"MAX(CASE WHEN t - t_{k} < {RATE[k] * 1000000} THEN CAST({RATE[k] * 1000000} - (t - t_{k}) AS BIGINT) ELSE 0 END) AS wait_{k}" for k in RATE) + " FROM (SELECT event_id, t, u, units, "
+    + ", ".join(f"lag(t, {n}) OVER w AS t_{k}" for k, n in USER_LIMITS.items()) + " FROM (SELECT event_id, user_id, epoch_us(ts) AS t, units, unnest(range(1, units + 1)) AS u FROM api_calls) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id, u)) WHERE u = units GROUP BY 1", "api_calls"))
+def rate_limit_wait(spark, d):
+    """Microseconds until a call fits each limit: until the oldest call that is too many leaves the trailing window.
+
+    Each unit is a stamp. With a limit of n, the stamp n before a call's last one has to be out of the window.
+    """
+    w = Window.partitionBy("user_id").orderBy("t", "event_id", "u")
+    c = fx.api_calls(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "user_id", "t", "units", F.explode(F.sequence(F.lit(1), "units")).alias("u"))
+    c = c.withColumns({f"t_{k}": F.lag("t", n).over(w) for k, n in USER_LIMITS.items()}).where("u = units")
+    wait = lambda k: F.when(F.col("t") - F.col(f"t_{k}") < RATE[k] * 1_000_000, RATE[k] * 1_000_000 - (F.col("t") - F.col(f"t_{k}"))).otherwise(0).cast("long").alias(f"wait_{k}")
+    return c.select("event_id", *[wait(k) for k in RATE])
+
+
+@query(o.over(f"""SELECT event_id, done, total, {o.r('100e0 * done / total', 4)} AS percent, {o.r('(total - done) * GREATEST(us / 1e6, 1e-6) / done', 3)} AS left_s FROM (SELECT event_id, row_number() OVER w AS done, COUNT(*) OVER (PARTITION BY user_id) AS total,
+  epoch_us(ts) - MIN(epoch_us(ts)) OVER (PARTITION BY user_id) AS us FROM api_calls WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""", "api_calls"))
+def batch_progress(spark, d):
+    """Done, total, percent and seconds that remain at the rate so far, after each of a user's calls."""
+    w, all_ = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    c = fx.api_calls(spark, d).select("event_id", F.row_number().over(w).cast("long").alias("done"), F.count("*").over(all_).alias("total"), (us - F.min(us).over(all_)).alias("us"))
+    left = (F.col("total") - F.col("done")) * F.greatest(F.col("us") / 1e6, F.lit(1e-6)) / F.col("done")
+    return c.select("event_id", "done", "total", r(100.0 * F.col("done") / F.col("total"), 4).alias("percent"), r(left, 3).alias("left_s"))
+
+
+#: Typographic characters and what a plain font prints for them.
+PLAIN_FROM, PLAIN_TO, ELLIPSIS = "—–‘’“”•", "--''\"\"-", "…"
+
+
+@query("""SELECT doc_id, md5(replace(translate(text, chr(8212) || chr(8211) || chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8226), '--''''""-'), chr(8230), '...')) AS plain_md5 FROM documents""")
+def plain_text(spark, d):
+    """Texts with typographic characters as plain ones, as their digest."""
+    plain = F.replace(F.translate("text", PLAIN_FROM, PLAIN_TO), F.lit(ELLIPSIS), F.lit("..."))
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(plain).alias("plain_md5"))

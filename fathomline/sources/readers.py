@@ -40,6 +40,11 @@ def report(df: DataFrame, path: str, form: str = "csv") -> None:
     df.write.format(form).option("header", "true").mode("overwrite").save(path)
 
 
+def read_report(spark: SparkSession, path: str, schema, form: str = "csv") -> DataFrame:
+    """A report's table as it was written, with the columns' types."""
+    return spark.read.format(form).option("header", "true").schema(schema).load(path)
+
+
 def screenshot_bytes(data_url: Column) -> Column:
     """The bytes behind a data URL, or of bare base64."""
     return F.unbase64(F.element_at(F.split(data_url, ","), -1))

@@ -26,7 +26,7 @@ def test_grib_magic_and_report(spark, tmp_path):
     assert got == {"a.grb": True, "b.grb": False}
     df = spark.createDataFrame([(1, 2.5)], "a int, b double")
     readers.report(df, str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out"), header=True, schema="a int, b double").collect() == df.collect()
+    assert readers.read_report(spark, str(tmp_path / "out"), df.schema).collect() == df.collect()
 
 
 def test_screenshot(spark):

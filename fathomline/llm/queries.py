@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import html_text, lm_score, merkle, mixing, packing, quality, secrets, simhash, substring_dedup, token_counts
+from fathomline.llm import ball_tree, html_text, line_dedup, lm_score, merkle, mixing, packing, quality, secrets, simhash, substring_dedup, token_counts, token_links
 from fathomline.llm.common import table
 
 
@@ -74,12 +74,60 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_links.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3:")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_lm_score, op3_mix_sources, op4_secret_scan, op5_html_text, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts, op10_merkle)
+    for f in (op1_substring_dedup, op2_lm_score, op3_mix_sources, op4_secret_scan, op5_html_text, op6_simhash, op7_packing, op8_quality_rules, op9_token_counts, op10_merkle,
+              op11_line_dedup, op12_token_links, op13_ball_tree)
 }
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """One table of vectors by nearest centroid and one of moved centroids a round."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i])))"
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(x) AS x, min({{'d': d, 'c': c}}) AS n FROM (SELECT v.r, v.x, m.c, {far} AS d FROM v CROSS JOIN c{i} m) GROUP BY r)")
+        if i < rounds:
+            moved = "list_transform(range(1, 65), lambda i: CAST(floor(list_sum(list_transform(l, lambda y: y[i]))::DOUBLE / len(l)) AS BIGINT))"
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT m.c, CASE WHEN g.l IS NULL THEN m.x ELSE {moved} END AS x FROM c{i} m LEFT JOIN (SELECT n.c AS c, list(x) AS l FROM a{i} GROUP BY 1) g ON g.c = m.c)")
+    return ",\n".join(out)
+
+
 ORACLES = {
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.holder AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
+    "op13_ball_tree": f"""
+WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT vec_id, r, list_transform(e, lambda y: CAST(floor(1024 * y) AS BIGINT)) AS x FROM r WHERE len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x FROM v ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), x LIMIT 8),
+{_rounds_sql(10)}
+SELECT v.vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a10 JOIN v ON v.r = a10.r JOIN c10 m ON m.c = n.c
+""",
     "op10_merkle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
 x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import checkpoint
@@ -125,12 +125,10 @@ def _lines(docs: DataFrame, least: int, shards: int | None = None, parts: dict[i
     return docs.mapInArrow(run, f"doc_id {kind}, h long, f long{more}")
 
 
-def shared_keys(docs: DataFrame, least_chars: int, least_docs: int) -> tuple[DataFrame, int]:
-    """h, f, n (documents) and holder (largest doc_id) of the keys that enough rows hold, and how many lines were counted."""
-    seen = Observation()
-    lines = _lines(docs, least_chars).observe(seen, F.count(F.lit(1)).alias("lines"))
-    found = lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= least_docs)
-    return checkpoint(found), seen.get["lines"]
+def shared_keys(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """h, f, n (documents) and holder (largest doc_id) of the keys that enough rows hold."""
+    found = _lines(docs, least_chars).groupBy("h", "f").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+    return checkpoint(found.where(F.col("n") >= least_docs))
 
 
 def sharded_index(keys: DataFrame, shards: int) -> DataFrame:
@@ -181,7 +179,8 @@ def drop_shared_lines(docs: DataFrame, least_chars: int = 40, least_docs: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keys, n_lines = shared_keys(rows, least_chars, least_docs)
+    keys = shared_keys(rows, least_chars, least_docs)
+    n_lines = rows.agg(F.sum(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-n_lines // SHARD_LINES), -(-keys.count() // SHARD_KEYS))
     loads = keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").agg(F.sum("n").alias("n"))
     # fewer than one shard for each PART_DOCS lines is split, and the driver gets two numbers of it

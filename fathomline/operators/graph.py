@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo
@@ -11,16 +14,40 @@ from fathomline.functions import geo
 HOPS = 8
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir; one of our own only where it is unset."""
-    import tempfile
-
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and all run on this machine."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(own or tempfile.mkdtemp(prefix="fathomline-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df without its lineage, written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Round:
+    """The table of a loop's last round, as Parquet in the shared folder; the one before is removed once nothing reads it."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.at = None
+        self.put(df)
+
+    def put(self, df: DataFrame) -> None:
+        """Write the next round's rows, which may be made from this one's, and forget this one's."""
+        spark, before = df.sparkSession, self.at
+        self.at = f"{shared_dir(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+        df.write.parquet(self.at)
+        self.now = spark.read.schema(df.schema).parquet(self.at)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def relax(start: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("node",), most: int = 10_000) -> DataFrame:
     """Least cost of every reachable state.
 
@@ -62,11 +89,12 @@ def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def turns(edges: DataFrame, cap: float) -> DataFrame:
-    """Pairs of edges (src, via), (via, dst) that turn by no more than cap degrees and don't go straight back.
+    """Pairs of edges (src, via), (via, dst) that turn by no more than cap degrees and don't go straight back; an edge's bearing is taken once.
 
     edges: src, dst, lat1, lon1, lat2, lon2.
     """
-    a = edges.select(F.col("src").alias("src"), F.col("dst").alias("via"), F.col("lat1").alias("lat0"), F.col("lon1").alias("lon0"))
-    b = edges.select(F.col("src").alias("via"), "dst", "lat1", "lon1", "lat2", "lon2")
-    angle = geo.fold(geo.bearing("lat0", "lon0", "lat1", "lon1"), geo.bearing("lat1", "lon1", "lat2", "lon2"))
-    return a.join(b, "via").where("src <> dst").withColumn("turn_deg", geo.rounded(angle, 4)).where(F.col("turn_deg") <= cap).select("src", "via", "dst", "turn_deg")
+    e = edges.withColumn("bearing", geo.bearing("lat1", "lon1", "lat2", "lon2"))
+    a = e.select("src", F.col("dst").alias("via"), F.col("bearing").alias("before"))
+    b = e.select(F.col("src").alias("via"), "dst", "bearing")
+    turned = a.join(b, "via").where("src <> dst").withColumn("turn_deg", geo.rounded(geo.fold("before", "bearing"), 4))
+    return turned.where(F.col("turn_deg") <= cap).select("src", "via", "dst", "turn_deg")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import geo, risk, vessel
 from fathomline.functions.geo import rounded as r
-from fathomline.operators import graph, spatial
+from fathomline.operators import graph, spatial, ways, weather
 from fathomline.params import DEFAULT
 from fathomline.plans import oracle as o
 from fathomline.plans.scalars import ENDS, ENDS_AT, WX, edge_ends, sample_count
@@ -267,23 +267,41 @@ def hourly_reshape(spark, d):
     return t.select("k", F.posexplode("v").alias("hour", "value")).withColumn("hour", F.col("hour").cast("long"))
 
 
-IDW = f"""SELECT p.node_id, w.node_id AS o, {o.r('POWER(n.lat - p.lat, 2) + POWER((n.lon - p.lon) * GREATEST(COS(RADIANS(p.lat)), 0.2e0), 2)', 9)} AS d2, wind_speed, wave_height FROM nav_nodes p JOIN nav_nodes n ON ABS(n.row_ - p.row_) <= 6 AND ABS(n.col_ - p.col_) <= 6
-  JOIN wx_obs w ON w.node_id = n.node_id AND w.step_h = 0"""
+FIELDS = weather.FIELDS
+#: Six nearest observed nodes of each place by squared degrees; no place of the lattice has its sixth more than two degrees away.
+NEAR6 = f"""SELECT place, o, 1e0 / GREATEST(d2, 1e-12) AS w FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY d2, o) AS rank FROM
+  (SELECT q.place, c.node_id AS o, {o.r(f"POWER(c.lat - q.lat, 2) + POWER(({o.m360('c.lon - q.lon + 180e0')} - 180e0) * GREATEST(COS(RADIANS(q.lat)), 0.2e0), 2)", 9)} AS d2
+   FROM places q JOIN (SELECT * FROM nav_nodes WHERE node_id IN (SELECT node_id FROM wx_obs)) c ON ABS(c.lat - q.lat) < 2 AND ABS(c.lon - q.lon) < 2)) WHERE rank <= 6"""
 
 
-@query(o.over(f"SELECT node_id, {o.r('COALESCE(SUM(w * wind_speed) / SUM(CASE WHEN wind_speed IS NOT NULL THEN w END), 10e0)', 4)} AS wind_speed, {o.r('COALESCE(SUM(w * wave_height) / SUM(CASE WHEN wave_height IS NOT NULL THEN w END), 1e0)', 4)} AS wave_height FROM (SELECT *, 1e0 / GREATEST(d2, 1e-12) AS w, row_number() OVER (PARTITION BY node_id ORDER BY d2, o) AS k FROM ({IDW})) WHERE k <= 6 GROUP BY 1", "nav_nodes", "wx_obs"))
+def _weighted_sql(c: str) -> str:
+    if c.endswith("_dir"):
+        v = f"CASE WHEN COUNT({c}) > 0 THEN {o.m360(f'DEGREES(ATAN2(SUM(w * SIN(RADIANS({c}))), SUM(w * COS(RADIANS({c}))))) + 360e0')} END"
+    else:
+        v = f"SUM(w * {c}) / SUM(CASE WHEN {c} IS NOT NULL THEN w END)"
+    held = o.r(f"COALESCE({v}, {DEFAULT.defaults[c]}e0)")
+    return f"{o.m360(held) if c.endswith('_dir') else held} AS {c}"
+
+
+AT_HOURS = f"""SELECT a.place, a.step_h, {', '.join(map(_weighted_sql, FIELDS))}, COUNT(wind_speed) = 0 OR COUNT(wave_height) = 0 AS missing
+  FROM (SELECT DISTINCT place, step_h FROM asked) a JOIN near6 n ON n.place = a.place LEFT JOIN wx_obs x ON x.node_id = n.o AND x.step_h = a.step_h GROUP BY 1, 2"""
+
+
+def _cloud(spark, d):
+    """Nodes that have observations, as a cloud of points, and their observations."""
+    seen = fx.wx_obs(spark, d).withColumnRenamed("node_id", "o")
+    cloud = fx.nav_nodes(spark, d).join(seen.select(F.col("o").alias("node_id")).distinct(), "node_id", "left_semi")
+    return cloud.select(F.col("node_id").alias("o"), F.col("lat").alias("lat_o"), F.col("lon").alias("lon_o")), seen
+
+
+@query(o.over(f"SELECT place AS node_id, step_h AS hour, {', '.join(f'{o.r(c, 4)} AS {c}' for c in FIELDS)} FROM at_hours", "nav_nodes", "wx_obs", places="SELECT node_id AS place, lat, lon FROM nav_nodes", asked="SELECT place, CAST(h AS BIGINT) AS step_h FROM places CROSS JOIN (SELECT unnest([0, 36, 72]) AS h)", near6=NEAR6, at_hours=AT_HOURS))
 def idw_weather(spark, d):
-    """Six nearest observed nodes by scaled squared degrees, looked for in the lattice around each node."""
-    n = fx.nav_nodes(spark, d)
-    w = fx.wx_obs(spark, d).where("step_h = 0").select(F.col("node_id").alias("o"), "wind_speed", "wave_height")
-    seen = n.select(F.col("node_id").alias("o"), F.col("lat").alias("lat_o"), F.col("lon").alias("lon_o"), F.floor(F.col("row_") / 7).alias("bi"), F.floor(F.col("col_") / 7).alias("bj"), F.col("row_").alias("ro"), F.col("col_").alias("co")).join(w, "o")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = n.withColumn("q", F.explode(around)).withColumns({"bi": F.floor(F.col("row_") / 7) + F.col("q.i"), "bj": F.floor(F.col("col_") / 7) + F.col("q.j")})
-    j = p.join(seen, ["bi", "bj"]).where("abs(row_ - ro) <= 6 and abs(col_ - co) <= 6")
-    dx = (F.col("lon_o") - F.col("lon")) * F.greatest(F.cos(F.radians("lat")), F.lit(0.2))
-    j = j.withColumn("d2", r((F.col("lat_o") - F.col("lat")) * (F.col("lat_o") - F.col("lat")) + dx * dx, 9))
-    j = j.withColumn("k", F.row_number().over(Window.partitionBy("node_id").orderBy("d2", "o"))).where("k <= 6").withColumn("w", 1.0 / F.greatest("d2", F.lit(1e-12)))
-    return j.groupBy("node_id").agg(*[r(F.coalesce(_mean(F.col(c)), F.lit(DEFAULT.defaults[c])), 4).alias(c) for c in ("wind_speed", "wave_height")])
+    """Eight fields at every node at the first, the middle and the last step, from the six nearest observed nodes by scaled squared degrees."""
+    cloud, seen = _cloud(spark, d)
+    places = fx.nav_nodes(spark, d).select(F.col("node_id").alias("place"), "lat", "lon")
+    asked = places.select("place", F.explode(F.array(*[F.lit(h).cast("long") for h in (0, 36, 72)])).alias("step_h"))
+    w = weather.at_hours(asked, weather.weights(places, cloud), seen)
+    return w.select(F.col("place").alias("node_id"), F.col("step_h").alias("hour"), *[r(c, 4).alias(c) for c in FIELDS])
 
 
 IMP = f"SELECT m.node_id, w.wave_height AS v, w.wave_dir AS a, row_number() OVER (PARTITION BY m.node_id ORDER BY {o.r(o.hav('p.lat', 'p.lon', 'n.lat', 'n.lon'))}, n.node_id) AS k FROM wx_obs m JOIN nav_nodes p ON p.node_id = m.node_id JOIN nav_nodes n ON ABS(n.lat - p.lat) < 2.2e0 AND ABS(n.lon - p.lon) < 2.2e0 JOIN wx_obs w ON w.node_id = n.node_id AND w.step_h = 0 AND w.wave_height IS NOT NULL WHERE m.step_h = 0 AND m.wave_height IS NULL"
@@ -329,54 +347,97 @@ def edge_samples(spark, d):
     return _samples(edge_ends(spark, d)).select("src", "dst", "k", r("lat").alias("lat"), r("lon").alias("lon"))
 
 
-EW = f"SELECT s.src, s.dst, s.k, w.* FROM (SELECT *, CASE WHEN k = 0 THEN src ELSE dst END AS at_node FROM s) s LEFT JOIN wx_obs w ON w.node_id = s.at_node AND w.step_h = 3 * (s.src % 25)"
+#: Hours at which the voyage from the first node to the last passes each node; edge samples with the hour between both ends' hours, and their weather.
+FAR = """SELECT MAX(node_id) AS node, 0e0 AS km FROM nav_nodes UNION SELECT n.node, n.km FROM (SELECT e.src AS node, MIN(t.km + e.distance_km) AS km FROM far t JOIN nav_edges e ON e.dst = t.node GROUP BY 1) n
+  LEFT JOIN recurring.far r ON r.node = n.node WHERE r.km IS NULL OR n.km < r.km - 1e-9"""
+PASSED = f"SELECT node, FLOOR(GREATEST(0e0, (SELECT km FROM far WHERE node = (SELECT MIN(node_id) FROM nav_nodes)) - km) / {DEFAULT.km_per_hour!r}e0) AS h FROM far"
+TIMED = """SELECT *, CAST(3 * CEIL(LEAST(GREATEST(FLOOR(t0 + k / (n - 1e0) * (t1 - t0)), 0), 71) / 3e0 - 0.5e0) AS BIGINT) AS step_h,
+  CAST((FLOOR(lat * 1e3 + 0.50001e0) + 90000) * 1000000 + FLOOR(lon * 1e3 + 0.50001e0) + 180000 AS BIGINT) AS place
+  FROM (SELECT s.*, CASE WHEN distance_km <= 25e0 THEN 2 WHEN distance_km <= 80e0 THEN 3 WHEN distance_km <= 180e0 THEN 4 ELSE 5 END AS n, COALESCE(a.h, 0) AS t0, COALESCE(b.h, a.h, 0) AS t1
+        FROM s JOIN e USING (src, dst) LEFT JOIN passed a ON a.node = s.src LEFT JOIN passed b ON b.node = s.dst)"""
+EW = "SELECT t.src, t.dst, t.k, h.* EXCLUDE (place) FROM timed t JOIN at_hours h ON h.place = t.place AND h.step_h = t.step_h"
 
 
-def _edge_weather(spark, d):
-    """Samples of edges with the weather of the nearer end at the hour of arrival there."""
-    s = _samples(edge_ends(spark, d)).withColumns({"node_id": F.when(F.col("k") == 0, F.col("src")).otherwise(F.col("dst")), "step_h": 3 * (F.col("src") % 25)})
-    return s.join(fx.wx_obs(spark, d), ["node_id", "step_h"], "left")
+def _over_samples(sql: str, **more: str) -> str:
+    own = o.over(sql, "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, far=FAR, passed=PASSED, timed=TIMED, places="SELECT DISTINCT place, (place // 1000000 - 90000) / 1e3 AS lat, (place % 1000000 - 180000) / 1e3 AS lon FROM timed",
+                 asked="SELECT place, step_h FROM timed", near6=NEAR6, at_hours=AT_HOURS, w=EW, **more)
+    return own.replace("WITH ", "WITH RECURSIVE ", 1).replace("far AS (", "far(node, km) USING KEY (node) AS (", 1)
+
 
+def _passed(spark, d):
+    """node and arrival_h of the voyage from the first node to the last, by what remains from each node."""
+    e = edge_ends(spark, d).select("src", "dst", F.col("distance_km").alias("km"))
+    ends = fx.nav_nodes(spark, d).agg(F.min("node_id").alias("first"), F.max("node_id").alias("last"))
+    left = ways.goal_trees(ends.select(F.col("last").alias("goal"), F.lit(ways.GLOBE_KM).alias("reach")), ways.shortcuts(e))
+    total = left.join(F.broadcast(ends), F.col("node") == F.col("first"), "left_semi").agg(F.max("km").alias("total"))  # one row
+    return left.crossJoin(F.broadcast(total)).select("node", ways.hour_at("total", "km").alias("arrival_h"))
 
-@query(o.over("SELECT src, dst, k, wind_speed, wave_height FROM w", "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, w=EW))
+
+def _edge_weather(spark, d):
+    """Samples of edges with the weather at their places, at the hour between the arrivals at both ends."""
+    h = graph.checkpoint(_passed(spark, d))
+    s = _samples(edge_ends(spark, d)).join(h.select(F.col("node").alias("src"), F.col("arrival_h").alias("t0")), "src", "left").join(h.select(F.col("node").alias("dst"), F.col("arrival_h").alias("t1")), "dst", "left")
+    t0 = F.coalesce("t0", F.lit(0))
+    hour = t0 + F.col("k") / (F.col("n") - 1.0) * (F.coalesce("t1", t0) - t0)
+    milli = lambda c, shift: F.floor(F.col(c) * 1e3 + 0.50001) + shift
+    s = graph.checkpoint(s.select("src", "dst", "k", weather.step_of(hour).alias("step_h"), (milli("lat", 90_000) * 1_000_000 + milli("lon", 180_000)).cast("long").alias("place")))
+    places = s.select("place").distinct().select("place", ((F.floor(F.col("place") / 1e6) - 90_000) / 1e3).alias("lat"), ((F.col("place") % 1_000_000 - 180_000) / 1e3).alias("lon"))
+    cloud, seen = _cloud(spark, d)
+    near = graph.checkpoint(weather.weights(places, cloud))
+    return s.join(weather.at_hours(s, near, seen), ["place", "step_h"])
+
+
+@query(_over_samples(f"SELECT src, dst, k, step_h, {', '.join(f'{o.r(c, 4)} AS {c}' for c in FIELDS)} FROM w"))
 def edge_weather_samples(spark, d):
-    return _edge_weather(spark, d).select("src", "dst", "k", "wind_speed", "wave_height")
+    """Eight fields at every sample of every edge, at the hour at which the voyage from the first node to the last passes it."""
+    return _edge_weather(spark, d).select("src", "dst", "k", "step_h", *[r(c, 4).alias(c) for c in FIELDS])
 
 
-@query(o.over(f"SELECT src, dst, {o.r(f'CASE WHEN COUNT(node_id) = 0 THEN 1e0 ELSE 0.35e0 * AVG(CASE WHEN node_id IS NOT NULL THEN {o.risk()} END) + 0.65e0 * MAX(CASE WHEN node_id IS NOT NULL THEN {o.risk()} END) END')} AS penalty, bool_or(wind_speed IS NULL OR wave_height IS NULL) AS has_missing, bool_or({o.NO_GO}) AS no_go FROM w GROUP BY 1, 2", "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, w=EW))
+def _edge_means(spark, d):
+    """An edge's means over its samples (directions as vectors), mean and greatest risk, and whether weather is missing or shuts it."""
+    w = _edge_weather(spark, d).withColumns({"x": risk.safety_risk(*WX), "ng": risk.no_go("wave_height", "wind_speed", "current_vel")})
+    mean = [F.avg(c).alias(c) if not c.endswith("_dir") else geo.mod360(r(geo.direction_toward(F.sum(F.sin(F.radians(c))), F.sum(F.cos(F.radians(c)))))).alias(c) for c in FIELDS]
+    return w.groupBy("src", "dst").agg(*mean, F.avg("x").alias("mean_risk"), F.max("x").alias("risk"), F.bool_or("missing").alias("has_missing"), F.bool_or("ng").alias("no_go"), F.count("*").alias("samples"))
+
+
+def _direction_mean_sql(c: str) -> str:
+    turned = o.m360(f"DEGREES(ATAN2(SUM(SIN(RADIANS({c}))), SUM(COS(RADIANS({c}))))) + 360e0")
+    return o.m360(o.r(turned))
+
+
+MEANS = f"""SELECT src, dst, {', '.join(f'AVG({c}) AS {c}' if not c.endswith('_dir') else f'{_direction_mean_sql(c)} AS {c}' for c in FIELDS)},
+  AVG({o.risk()}) AS mean_risk, MAX({o.risk()}) AS risk, bool_or(missing) AS has_missing, bool_or({o.NO_GO}) AS no_go, COUNT(*) AS samples FROM w GROUP BY 1, 2"""
+
+
+@query(_over_samples(f"SELECT src, dst, {o.r('0.35e0 * mean_risk + 0.65e0 * risk')} AS penalty, has_missing, no_go FROM m", m=MEANS))
 def edge_penalty(spark, d):
-    w = _edge_weather(spark, d).withColumn("x", F.when(F.col("wind_speed").isNotNull(), risk.safety_risk(*WX)))
-    a = w.groupBy("src", "dst").agg(F.avg("x").alias("m"), F.max("x").alias("t"), F.bool_or(risk.missing_weather("wind_speed", "wave_height")).alias("has_missing"), F.bool_or(risk.no_go("wave_height", "wind_speed", "current_vel")).alias("no_go"))
-    return a.select("src", "dst", r(F.when(F.col("m").isNull(), 1.0).otherwise(0.35 * F.col("m") + 0.65 * F.col("t"))).alias("penalty"), "has_missing", "no_go")
+    """0.35 of the mean and 0.65 of the greatest risk of an edge's samples."""
+    return _edge_means(spark, d).select("src", "dst", r(0.35 * F.col("mean_risk") + 0.65 * F.col("risk")).alias("penalty"), "has_missing", "no_go")
 
 
-@query(o.over(f"SELECT src, dst, {', '.join(f'{o.r(f"COALESCE(AVG({c}), 0e0)", 4)} AS {c}' for c in ('wind_speed', 'wave_height', 'current_vel'))}, {o.r(f'COALESCE(MAX(CASE WHEN node_id IS NOT NULL THEN {o.risk()} END), 0e0)')} AS max_risk FROM w GROUP BY 1, 2", "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, w=EW))
+@query(_over_samples(f"SELECT src, dst, {', '.join(f'{o.r(c, 4)} AS {c}' for c in FIELDS)}, {o.r('risk')} AS max_risk FROM m", m=MEANS))
 def edge_aggregates(spark, d):
-    w = _edge_weather(spark, d).withColumn("x", F.when(F.col("wind_speed").isNotNull(), risk.safety_risk(*WX)))
-    return w.groupBy("src", "dst").agg(*[r(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("wind_speed", "wave_height", "current_vel")], r(F.coalesce(F.max("x"), F.lit(0.0))).alias("max_risk"))
+    return _edge_means(spark, d).select("src", "dst", *[r(c, 4).alias(c) for c in FIELDS], r("risk").alias("max_risk"))
 
 
-@query(o.over(f"SELECT COUNT(*) AS total, COUNT(CASE WHEN ng THEN 1 END) AS no_go, COUNT(CASE WHEN ms THEN 1 END) AS missing, {o.r('AVG(n)')} AS mean_samples FROM (SELECT src, dst, bool_or({o.NO_GO}) AS ng, bool_or(wind_speed IS NULL OR wave_height IS NULL) AS ms, COUNT(*) AS n FROM w GROUP BY 1, 2)", "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, w=EW))
+@query(_over_samples(f"SELECT COUNT(*) AS total, COUNT(CASE WHEN no_go THEN 1 END) AS no_go, COUNT(CASE WHEN has_missing THEN 1 END) AS missing, {o.r('AVG(samples)')} AS mean_samples FROM m", m=MEANS))
 def edge_diagnostics(spark, d):
-    w = _edge_weather(spark, d).groupBy("src", "dst").agg(F.bool_or(risk.no_go("wave_height", "wind_speed", "current_vel")).alias("ng"), F.bool_or(risk.missing_weather("wind_speed", "wave_height")).alias("ms"), F.count("*").alias("n"))
-    return w.agg(F.count("*").alias("total"), F.count_if("ng").alias("no_go"), F.count_if("ms").alias("missing"), r(F.avg("n")).alias("mean_samples"))
+    return _edge_means(spark, d).agg(F.count("*").alias("total"), F.count_if("no_go").alias("no_go"), F.count_if("has_missing").alias("missing"), r(F.avg("samples")).alias("mean_samples"))
 
 
 EP = o.perf("distance_nm", "heading")
-PRICED = f"SELECT *, {EP['hours']} AS hours, {EP['fuel_t']} AS fuel, COALESCE({o.risk()}, 0e0) AS rk, {o.NO_GO} AS no_go FROM (SELECT e.*, {o.brg(*ENDS_AT)} AS heading, w.* EXCLUDE (node_id, step_h) FROM e LEFT JOIN wx_obs w ON w.node_id = e.src AND w.step_h = 0)"
-COSTS = {k: o.price("distance_nm", "hours", "fuel", "rk", f"{a}e0", f"{b}e0", f"{c}e0", "TRUE" if k == "safety" else "FALSE") for k, (a, b, c) in DEFAULT.profiles.items()}
+PRICED = f"SELECT *, {EP['hours']} AS hours, {EP['fuel_t']} AS fuel FROM (SELECT e.*, {o.brg(*ENDS_AT)} AS heading, m.* EXCLUDE (src, dst) FROM e JOIN m USING (src, dst))"
+COSTS = {k: o.price("distance_nm", "hours", "fuel", "risk", f"{a}e0", f"{b}e0", f"{c}e0", "TRUE" if k == "safety" else "FALSE") for k, (a, b, c) in DEFAULT.profiles.items()}
 
 
 def priced_edges(spark, d):
-    """Edges with performance, risk, no_go and the cost under each profile, in the weather of their source at hour 0."""
-    w = fx.wx_obs(spark, d).where("step_h = 0").drop("step_h").withColumnRenamed("node_id", "src")
-    e = edge_ends(spark, d).withColumn("heading", geo.bearing(*ENDS_AT)).join(w, "src", "left")
+    """Edges with performance, risk, no_go and the cost under each profile, in the weather along them at the hours of arrival."""
+    e = edge_ends(spark, d).withColumn("heading", geo.bearing(*ENDS_AT)).join(_edge_means(spark, d), ["src", "dst"])
     e = e.withColumns(vessel.performance("distance_nm", "wave_height", "wave_dir", "wind_speed", "wind_dir", "current_vel", "current_dir", "heading"))
-    e = e.withColumns({"risk": risk.safety_risk(*WX), "no_go": risk.no_go("wave_height", "wind_speed", "current_vel")})
     return e.withColumns({f"cost_{k}": vessel.edge_cost("distance_nm", "hours", "fuel_t", "risk", "no_go", a, b, c, F.lit(k == "safety")) for k, (a, b, c) in DEFAULT.profiles.items()})
 
 
-@query(o.over("SELECT src, dst, " + ", ".join(f"{o.r(v, 4)} AS cost_{k}" for k, v in COSTS.items()) + " FROM p", "nav_edges", "wx_obs", e=ENDS, p=PRICED))
+@query(_over_samples("SELECT src, dst, " + ", ".join(f"{o.r(v, 4)} AS cost_{k}" for k, v in COSTS.items()) + " FROM p", m=MEANS, p=PRICED))
 def edge_cost(spark, d):
     return priced_edges(spark, d).select("src", "dst", *[r(f"cost_{k}", 4).alias(f"cost_{k}") for k in DEFAULT.profiles])
 
@@ -387,7 +448,11 @@ def reachable_nodes(spark, d):
     return graph.reachable(start, fx.nav_edges(spark, d))
 
 
-@query()
+NM = """SELECT MIN(node_id) AS node, 0e0 AS nm FROM nav_nodes UNION SELECT n.node, n.nm FROM (SELECT e.dst AS node, MIN(t.nm + e.distance_nm) AS nm FROM d t JOIN nav_edges e ON e.src = t.node GROUP BY 1) n
+  LEFT JOIN recurring.d r ON r.node = n.node WHERE r.nm IS NULL OR n.nm < r.nm - 1e-9"""
+
+
+@query(o.over(f"SELECT node, {o.r('nm', 4)} AS nm FROM d", "nav_edges", d=NM).replace("WITH ", "WITH RECURSIVE ", 1).replace("\nd AS (", "\nd(node, nm) USING KEY (node) AS (", 1))
 def baseline_path_cost(spark, d):
     """Least distance from the first node to every node."""
     e = fx.nav_edges(spark, d).select(F.col("src").alias("node"), F.col("dst").alias("to_node"), F.col("distance_nm").alias("step"))
@@ -395,16 +460,6 @@ def baseline_path_cost(spark, d):
     return graph.relax(start, e).select("node", r("cost", 4).alias("nm"))
 
 
-@query()
-def node_arrival_hours(spark, d):
-    """Hours at which a voyage from the first node to the last one passes each node, by what remains of its distance."""
-    e = fx.nav_edges(spark, d).select(F.col("dst").alias("node"), F.col("src").alias("to_node"), F.col("distance_km").alias("step"))
-    ends = fx.nav_nodes(spark, d).agg(F.min("node_id").alias("first"), F.max("node_id").alias("last"))
-    left = graph.relax(ends.select(F.col("last").alias("node"), F.lit(0.0).alias("cost")), e)
-    total = left.join(ends, F.col("node") == F.col("first"), "left_semi").agg(F.max("cost")).first()[0] or 0.0
-    return left.select("node", F.floor(F.greatest(F.lit(0.0), F.lit(total) - F.col("cost")) / DEFAULT.km_per_hour).alias("arrival_h"))
-
-
 @query(o.over(f"SELECT voyage_id, k, {o.r('DEGREES(ATAN2(z, SQRT(x * x + y * y)))')} AS lat, {o.r('DEGREES(ATAN2(y, x))')} AS lon FROM (SELECT voyage_id, k, a * COS(p1) * COS(l1) + b * COS(p2) * COS(l2) AS x, a * COS(p1) * SIN(l1) + b * COS(p2) * SIN(l2) AS y, a * SIN(p1) + b * SIN(p2) AS z FROM (SELECT *, SIN((1e0 - k / 12e0) * dd) / SIN(dd) AS a, SIN(k / 12e0 * dd) / SIN(dd) AS b FROM (SELECT *, {o.hav('DEGREES(p1)', 'DEGREES(l1)', 'DEGREES(p2)', 'DEGREES(l2)', '1e0')} AS dd FROM (SELECT voyage_id, RADIANS(10e0 + 0.2e0 * FLOOR(start_key / 1e2)) AS p1, RADIANS(-60e0 + 0.25e0 * (start_key % 100)) AS l1, RADIANS(10e0 + 0.2e0 * FLOOR(end_key / 1e2)) AS p2, RADIANS(-60e0 + 0.25e0 * (end_key % 100)) AS l2 FROM voyages)) CROSS JOIN (SELECT CAST(range AS BIGINT) AS k FROM range(1, 12)) WHERE dd >= 1e-9))", "voyages"))
 def geodesic_baseline(spark, d):
     """Eleven great-circle points between the ends of a voyage."""

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Queries of priced searches, which take much longer than all others.
+SEARCHES = ("turn_aware_cost", "refine_rounds", "voyage_route", "pareto_routes")
+
 
 def _modules():
     from fathomline.plans import routes, scalars, spatial, voyages

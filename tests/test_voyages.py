@@ -3,14 +3,14 @@
 import heapq
 import math
 import random
+import tempfile
 from dataclasses import replace
 
 import pytest
 
 from fathomline.functions import geo
-from fathomline.operators import spatial, ways
+from fathomline.operators import ways
 from fathomline.params import DEFAULT
-from fathomline.plans import spatial as spatial_plans
 from fathomline.plans import voyages
 from fathomline.sources import fixtures
 
@@ -29,11 +29,11 @@ def fold(a, b):
 class Plain:
     """The graph, prices and trips on the driver, and searches over them by heaps."""
 
-    def __init__(self, spark):
-        self.place = {n.node_id: (n.lat, n.lon) for n in fixtures.nav_nodes(spark, SF).collect()}
+    def __init__(self, spark, sf=SF):
+        self.place = {n.node_id: (n.lat, n.lon) for n in fixtures.nav_nodes(spark, sf).collect()}
         names = [*DEFAULT.profiles, *DEFAULT.pareto]
         self.out = {}
-        for e in voyages.step_priced_edges(spark, SF, names).collect():
+        for e in voyages.step_priced_edges(spark, sf, names).collect():
             self.out.setdefault(e.src, {})[e.dst] = e
         self.far = {}
 
@@ -108,10 +108,36 @@ def ready(spark):
     return voyages._search(spark, SF)
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    """A copy of the smallest tables with a lattice of 2 x 12 nodes and some 190 voyages, all tables as before otherwise."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, rows in (("part", "p_partkey % 100 < 12 and p_partkey < 200"), ("lineitem", "l_partkey % 100 < 12 and l_partkey < 200"), ("orders", "o_orderkey % 8 = 1")):
+        fixtures.table(spark, SF, name).where(rows).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def small_plain(spark, small):
+    return Plain(spark, small)
+
+
+@pytest.fixture(scope="module")
+def small_ready(spark, small):
+    return voyages._search(spark, small)
+
+
 def near(a, b):
     return (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6))
 
 
+def by_rounds(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.trip, {})[r.round] = r
+    return got
+
+
 def test_every_cheapest_way_equals_a_plain_search(spark, plain, ready):
     search = replace(ready[1], p=replace(DEFAULT, rounds=1))
     trips = {t.trip: t for t in search.trips.collect()}
@@ -124,47 +150,55 @@ def test_every_cheapest_way_equals_a_plain_search(spark, plain, ready):
         assert all(b in plain.out[a] for a, b in zip(r.path, r.path[1:]))
 
 
-def test_rounds_equal_a_plain_search(spark, plain, ready):
-    some = ready[1].trips.where("trip % 9 = 0")
-    trips = {t.trip: t for t in some.collect()}
-    got = {}
-    for r in ways.refined(replace(ready[1], trips=some)).collect():
-        got.setdefault(r.trip, {})[r.round] = r
-    assert got.keys() == trips.keys() and len(trips) > 100 and max(map(len, got.values())) > 1
+def test_rounds_equal_a_plain_search(small_plain, small_ready):
+    trips = {t.trip: t for t in small_ready[1].trips.collect()}
+    got = by_rounds(ways.refined(small_ready[1]))
+    assert got.keys() == trips.keys() and len(trips) > 50 and max(map(len, got.values())) > 1
     for k, t in trips.items():
-        want = plain.rounds(t, DEFAULT.rounds)
+        want = small_plain.rounds(t, DEFAULT.rounds)
         assert len(want) == len(got[k]) and all(near(got[k][i].cost, c) and near(got[k][i].best_cost, b) for i, (c, b) in enumerate(want))
 
 
-def test_ways_that_break_a_tight_cap_are_searched_by_pairs(spark, plain, ready):
-    cap = 80.0
-    some = ready[1].trips.where("trip % 17 = 0")
-    trips = {t.trip: t for t in some.collect()}
-    rows = ways.refined(replace(ready[1], trips=some, p=replace(DEFAULT, rounds=1, turn_cap_deg=cap))).collect()
-    free = sum(1 for r in rows if not near(plain.rounds(trips[r.trip], 1)[0][0], r.cost))
-    assert {r.trip for r in rows} == trips.keys() and free > 5
-    for r in rows:
-        (now, _), = plain.rounds(trips[r.trip], 1, cap)
-        assert near(r.cost, now)
-
-
-def test_single_aims_equal_a_plain_search(spark, plain):
-    search = voyages._search(spark, SF, pareto=True, rounds=1)[1]
-    some = search.trips.where("trip % 23 = 0")
-    trips = {t.trip: t for t in some.collect()}
-    rows = ways.refined(replace(search, trips=some)).collect()
-    assert {r.trip for r in rows} == trips.keys() and len(rows) > 50 and {t.profile for t in trips.values()} == set(DEFAULT.pareto)
-    assert all(near(r.cost, plain.rounds(trips[r.trip], 1)[0][0]) for r in rows)
-
-
-def test_no_python_in_searches(spark, ready):
+@pytest.mark.parametrize("cap", [80.0, 40.0])
+def test_ways_that_break_a_tight_cap_are_searched_by_pairs(small_plain, small_ready, cap):
+    trips = {t.trip: t for t in small_ready[1].trips.collect()}
+    got = by_rounds(ways.refined(replace(small_ready[1], p=replace(DEFAULT, rounds=1, turn_cap_deg=cap))))
+    want = {k: small_plain.rounds(t, 1, cap)[0] for k, t in trips.items()}
+    assert got.keys() == trips.keys() and sum(not near(small_plain.rounds(t, 1)[0][0], want[k][0]) for k, t in trips.items()) > 5
+    assert all(near(got[k][0].cost, now) and near(got[k][0].best_cost, best) for k, (now, best) in want.items())
+
+
+def test_queries_of_searches(spark, small, small_plain):
+    """Routes, rounds and single aims of every voyage, by value."""
+    rounds, costs = {}, {}
+    for r in voyages.refine_rounds(spark, small).collect():
+        rounds.setdefault(r.voyage_id, {})[r.round] = r
+    costs = {r.voyage_id: r for r in voyages.turn_aware_cost(spark, small).collect()}
+    routes = {r.voyage_id: r for r in voyages.voyage_route(spark, small).collect()}
+    assert rounds.keys() == costs.keys() == routes.keys() and len(routes) > 80
+    for k, r in routes.items():
+        last = rounds[k][max(rounds[k])]
+        assert r.cost == last.best_cost and costs[k].cost == rounds[k][0].cost and r.cost <= costs[k].baseline_cost + 1e-4
+        assert near(r.km, math.floor(sum(small_plain.out[a][b].km for a, b in zip(r.path, r.path[1:])) * 1e4 + 0.50001) / 1e4)
+    search = voyages._search(spark, small, pareto=True)
+    trips = {(t.start_key, t.end_key, t.profile): t for t in search[0].join(search[1].trips.select("trip", "total", "base_path"), "trip").collect()}
+    keys = {r.voyage_id: (r.start_key, r.end_key) for r in fixtures.voyages(spark, small).collect()}
+    aims = voyages.pareto_routes(spark, small).collect()
+    assert len(aims) > 150 and {r.label for r in aims} == set(DEFAULT.pareto)
+    for r in aims:
+        t = trips.get((*keys[r.voyage_id], r.label))
+        want = small_plain.rounds(t, DEFAULT.rounds)[-1][1] if t else 0.0
+        assert abs(r.cost - want) < 1e-3
+
+
+def test_no_python_in_searches(spark, small_ready):
     plan = lambda df: df._jdf.queryExecution().toString()
-    for df in (voyages.voyage_baseline(spark, SF), voyages.node_arrival_hours(spark, SF), ready[1].trips, ready[1].trees, ready[1].outs):
+    for df in (voyages.voyage_baseline(spark, SF), voyages.node_arrival_hours(spark, SF), small_ready[1].trips, small_ready[1].trees, small_ready[1].outs):
         assert "Python" not in plan(df) and "Pandas" not in plan(df) and "Arrow" not in plan(df)
 
 
 def test_arrivals_of_every_trip(spark, plain):
-    _, found = voyages._baselines(spark, SF)
+    found, _ = voyages._baselines(spark, SF)
     base = {(r.start_key, r.end_key): r for r in found.collect()}
     got = {}
     for r in voyages.arrivals(spark, SF).collect():
@@ -207,7 +241,7 @@ def test_baselines_widen_where_ways_are_long_or_missing(spark):
         return got
 
     far = {x: distances(x) for x in {x for a, _ in trips.values() for x in a}}
-    found = {(r.start_key, r.end_key): r for r in ways.baselines(t, df).collect()}
+    found = {(r.start_key, r.end_key): r for r in ways.baselines(t, df)[0].collect()}
     assert found.keys() == trips.keys()
     for k, (a, b) in trips.items():
         want = min((far[x][y] for x in a for y in b if y in far[x]), default=None)
@@ -293,8 +327,3 @@ def test_weather_at_hours_by_definition(spark):
             assert math.isclose(r[c], want, abs_tol=1e-5)
     hours = spark.range(-5, 90).selectExpr("id", "cast(id as double) as h").select("id", weather.step_of(geo.col("h")).alias("s")).collect()
     assert all(r.s == min(range(0, 73, 3), key=lambda s: (abs(s - min(max(r.id, 0), 71)), s)) for r in hours)
-
-
-def test_bearings_of_turns_are_those_of_edges(spark):
-    rows = spatial_plans.turn_pairs(spark, SF).count()
-    assert rows > 1000 and spatial.KM_PER_DEGREE > 100

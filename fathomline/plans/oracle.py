@@ -50,6 +50,13 @@ def over(sql: str, *views: str, **more: str) -> str:
     return ("WITH " + ",\n".join(named) + "\n" if named else "") + sql
 
 
+def recursive(sql: str, name: str, columns: str, key: str) -> str:
+    """sql of over() in which the named select reads itself, with one row a key; what it reads in every step is made once."""
+    for v in ("nav_nodes", "nav_edges", "snap"):
+        sql = sql.replace(f"{v} AS (", f"{v} AS MATERIALIZED (", 1)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace(f"\n{name} AS (", f"\n{name}({columns}) USING KEY ({key}) AS (", 1)
+
+
 def r(x: str, digits: int = 6) -> str:
     scale = f"1e{digits}"
     return f"(FLOOR(({x}) * {scale} + 0.50001e0) / {scale})"

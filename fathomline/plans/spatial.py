@@ -361,7 +361,7 @@ EW = "SELECT t.src, t.dst, t.k, h.* EXCLUDE (place) FROM timed t JOIN at_hours h
 def _over_samples(sql: str, **more: str) -> str:
     own = o.over(sql, "nav_edges", "wx_obs", e=ENDS, s=SAMPLES, far=FAR, passed=PASSED, timed=TIMED, places="SELECT DISTINCT place, (place // 1000000 - 90000) / 1e3 AS lat, (place % 1000000 - 180000) / 1e3 AS lon FROM timed",
                  asked="SELECT place, step_h FROM timed", near6=NEAR6, at_hours=AT_HOURS, w=EW, **more)
-    return own.replace("WITH ", "WITH RECURSIVE ", 1).replace("far AS (", "far(node, km) USING KEY (node) AS (", 1)
+    return o.recursive(own, "far", "node, km", "node")
 
 
 def _passed(spark, d):
@@ -452,7 +452,7 @@ NM = """SELECT MIN(node_id) AS node, 0e0 AS nm FROM nav_nodes UNION SELECT n.nod
   LEFT JOIN recurring.d r ON r.node = n.node WHERE r.nm IS NULL OR n.nm < r.nm - 1e-9"""
 
 
-@query(o.over(f"SELECT node, {o.r('nm', 4)} AS nm FROM d", "nav_edges", d=NM).replace("WITH ", "WITH RECURSIVE ", 1).replace("\nd AS (", "\nd(node, nm) USING KEY (node) AS (", 1))
+@query(o.recursive(o.over(f"SELECT node, {o.r('nm', 4)} AS nm FROM d", "nav_edges", d=NM), "d", "node, nm", "node"))
 def baseline_path_cost(spark, d):
     """Least distance from the first node to every node."""
     e = fx.nav_edges(spark, d).select(F.col("src").alias("node"), F.col("dst").alias("to_node"), F.col("distance_nm").alias("step"))

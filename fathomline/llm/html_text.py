@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset".split())
 BLOCK = frozenset("""address article aside body caption center dd details dialog dir div dt fieldset figcaption footer header hgroup hr html legend
 li main menu nav option search section summary tr tbody thead tfoot""".split()) | SPACED
@@ -35,7 +35,8 @@ IMPLIED |= {
 } | {t: (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)) for t in ("tbody", "thead", "tfoot")}
 #: An end tag ends nothing outside the nearest of these.
 HELD = {"table": (), "td": ("table",), "th": ("table",), "tr": ("table",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?|[^<]+|<", re.S)
+#: A quote opens a value right after an equals sign only; elsewhere it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)>?|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -59,7 +60,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _visible(tag: str, attrs: dict[str, str]) -> bool:
-    return not (tag in UNSEEN or "hidden" in attrs or _NONE.search(attrs.get("style", "")))
+    return not (tag in UNSEEN or (tag == "dialog" and "open" not in attrs) or "hidden" in attrs or _NONE.search(attrs.get("style", "")))
 
 
 def parse(html: str) -> Node:

@@ -37,11 +37,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As checkpoint(), as Parquet: for tables of many rows, which pack well by column."""
+#: Bytes of a row group that no partition reaches.
+WHOLE = 1 << 30
+
+
+def written(df: DataFrame, whole: bool = False) -> DataFrame:
+    """As checkpoint(), as Parquet: for tables of many rows, which pack well by column.
+
+    Spark may cut a file between row groups and read it in several tasks, or several files in one. With whole, a partition is written as
+    one row group, so that what was in one task is in one task again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", WHOLE) if whole else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathomline.llm import ball_tree, line_dedup, queries, token_links
+from fathomline.llm import ball_tree, html_text, line_dedup, lm_score, queries, token_links
 
 LINE = "This passage stands in very many documents, word by word."
 
@@ -250,3 +250,35 @@ def test_trees_assign_exactly(seed, n, wide):
     far = np.array([[sum((int(p) - int(q)) ** 2 for p, q in zip(v, m)) for m in c] for v in x[order]], object)
     own = tree.assigned(tree.radii(), c)[2]
     assert own.tolist() == [min(range(8), key=lambda j: (row[j], j)) for row in far]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p class=it's>hello <b>world</b>", "hello world"), ('<a href="x"">first</a> and <a href="y">second</a> end', "first and second end"), ("<a title='x'y'>T</a>after it's", "Tafter it's"),
+    ("<a title = 'a>b'>c</a>", "c"), ('<a title="a>b', ""), ("<i =\"'>d</i>", ""), ("<dialog>gone</dialog><dialog open>here</dialog>", "here"), ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr")])
+def test_stray_quotes_lose_no_text(page, text):
+    assert html_text.html_to_text(page).strip() == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["a", "b'", '"', "'", "x=1", "y=it's", "z='v>'", 'w="<b>"', "/", "q=a\"b"]), max_size=5).map(" ".join), st.sampled_from(["one", "it's", 'say "so"', "two"])), max_size=6))
+def test_text_outside_tags_is_kept(parts):
+    page = "".join(f"<b {attrs}>{text}</b>" for attrs, text in parts)
+    assert html_text.html_to_text(page).strip() == "".join(text for _, text in parts)
+
+
+def test_scores_do_not_depend_on_how_files_are_cut(spark, corpus, monkeypatch):
+    """Words are seated whole where Spark cuts the files of words at small row groups."""
+    sc, conf = spark.sparkContext._jsc.hadoopConfiguration(), {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    names = ("doc_id", "n_known", "train_tokens", "base_score", "score")
+    scores = lambda: {r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.score(corpus).select(*names).collect()}
+    want, before = scores(), {k: spark.conf.get(k) for k in conf}
+    try:
+        sc.set("parquet.block.size", "20000")
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = scores()
+    finally:
+        sc.unset("parquet.block.size")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want

@@ -267,10 +267,10 @@ def test_text_outside_tags_is_kept(parts):
 
 
 def test_scores_do_not_depend_on_how_files_are_cut(spark, corpus, monkeypatch):
-    """Words are seated whole where Spark cuts the files of words at small row groups."""
+    """Words of several blocks are seated whole where Spark cuts the files of words at small row groups."""
     sc, conf = spark.sparkContext._jsc.hadoopConfiguration(), {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
     names = ("doc_id", "n_known", "train_tokens", "base_score", "score")
-    scores = lambda: {r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.score(corpus).select(*names).collect()}
+    scores = lambda: {r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in lm_score.score(corpus, block_bytes=15_000).select(*names).collect()}
     want, before = scores(), {k: spark.conf.get(k) for k in conf}
     try:
         sc.set("parquet.block.size", "20000")

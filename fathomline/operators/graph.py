@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make: Callable[[], Iterable[DataFrame]]) -> tuple[DataFrame, ...]:
+    """Tables that several queries start from, made once an application for a folder of tables; they lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _made:
+        _made[key] = tuple(map(checkpoint, make()))
+    return _made[key]
+
+
 class Round:
     """The table of a loop's last round, as Parquet in the shared folder; the one before is removed once nothing reads it."""
 

@@ -375,6 +375,10 @@ def _passed(spark, d):
 
 def _edge_weather(spark, d):
     """Samples of edges with the weather at their places, at the hour between the arrivals at both ends."""
+    return graph.once(spark, d, "edge weather", lambda: [_made_edge_weather(spark, d)])[0]
+
+
+def _made_edge_weather(spark, d):
     h = graph.checkpoint(_passed(spark, d))
     s = _samples(edge_ends(spark, d)).join(h.select(F.col("node").alias("src"), F.col("arrival_h").alias("t0")), "src", "left").join(h.select(F.col("node").alias("dst"), F.col("arrival_h").alias("t1")), "dst", "left")
     t0 = F.coalesce("t0", F.lit(0))

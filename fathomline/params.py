@@ -30,6 +30,12 @@ class Params:
     vector_grid: int = 72
     severity_grid: int = 180
     risk_raster: int = 512
+    #: degrees
+    severity_pad: float = 0.12
+    wind_pad: float = 0.5
+    wind_step: float = 0.25
+    splat_deg: float = 1.25
+    raster_pad: float = 1.0
     converged: float = 0.01
     co2_factor: float = 3.114
     attach_km: float = 35.0

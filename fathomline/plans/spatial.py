@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import geo, risk, vessel
 from fathomline.functions.geo import rounded as r
-from fathomline.operators import graph, spatial, ways, weather
+from fathomline.operators import graph, gridding, spatial, ways, weather
 from fathomline.params import DEFAULT
 from fathomline.plans import oracle as o
 from fathomline.plans.scalars import ENDS, ENDS_AT, WX, edge_ends, sample_count
@@ -498,11 +498,14 @@ def _grid_sql(n: int) -> str:
     return f"SELECT r_, c_, a + (b - a) * r_ / {n - 1}e0 AS lat, c + (dd - c) * c_ / {n - 1}e0 AS lon FROM (SELECT MIN(lat) - 0.3e0 AS a, MAX(lat) + 0.3e0 AS b, MIN(lon) - 0.3e0 AS c, MAX(lon) + 0.3e0 AS dd FROM nav_nodes) CROSS JOIN (SELECT CAST(range AS BIGINT) AS r_ FROM range({n})) CROSS JOIN (SELECT CAST(range AS BIGINT) AS c_ FROM range({n}))"
 
 
-def _grid(nodes, n):
-    """n x n pixels over the nodes and a margin."""
-    box = nodes.agg((F.min("lat") - 0.3).alias("a"), (F.max("lat") + 0.3).alias("b"), (F.min("lon") - 0.3).alias("c"), (F.max("lon") + 0.3).alias("dd"))
+def _box(nodes, pad):
+    return nodes.agg((F.min("lat") - pad).alias("a"), (F.max("lat") + pad).alias("b"), (F.min("lon") - pad).alias("c"), (F.max("lon") + pad).alias("dd"))
+
+
+def _grid(nodes, n, pad=0.3):
+    """n x n pixels over the nodes and a margin; as many tasks make them as the cluster has cores."""
     seq = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    g = box.select("*", F.explode(seq).alias("r_")).repartition(8, "r_").select("*", F.explode(seq).alias("c_"))
+    g = _box(nodes, pad).select("*", F.explode(seq).alias("r_")).repartition(nodes.sparkSession.sparkContext.defaultParallelism, "r_").select("*", F.explode(seq).alias("c_"))
     at = lambda lo, hi, i: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(i) / float(n - 1)
     return g.select("r_", "c_", (F.col("r_") * n + F.col("c_")).alias("pixel"), at("a", "b", "r_").alias("lat"), at("c", "dd", "c_").alias("lon"))
 
@@ -534,6 +537,36 @@ def wind_grid_nearest(spark, d):
     return _near_pixels(spark, d, DEFAULT.vector_grid, 1).select("r_", "c_", "wind_speed")
 
 
+def _linear(pixels, seen):
+    """pixels (pixel, lat, lon, ...) with v, linear over the points of seen (lat, lon, v); written, as it is read twice where gaps are filled."""
+    found = gridding.linear(pixels.select(F.col("pixel").alias("place"), "lat", "lon"), seen)
+    return graph.checkpoint(pixels.join(found, pixels["pixel"] == found["place"], "left").drop("place"))
+
+
+@query()
+def severity_grid(spark, d):
+    """Severity from north to south on a grid, linear between observations; pixels outside their hull get the nearest one's."""
+    n = DEFAULT.severity_grid
+    seen = fx.nav_nodes(spark, d).join(fx.wx_obs(spark, d).where("step_h = 0"), "node_id").select("node_id", "lat", "lon", F.array(geo.clamp(100.0 * risk.safety_risk(*WX), 0, 100)).alias("v")).where("v[0] is not null")
+    grid = _linear(_grid(seen, n, DEFAULT.severity_pad), seen)
+    gaps = weather.nearest(grid.where("v is null").select(F.col("pixel").alias("place"), "lat", "lon"), seen.select(F.col("node_id").alias("o"), F.col("lat").alias("lat_o"), F.col("lon").alias("lon_o")), 1, flat=True)
+    filled = gaps.join(seen.select(F.col("node_id").alias("o"), F.col("v").alias("near")), "o").select(F.col("place").alias("pixel"), "near")
+    value = F.coalesce("v", "near")[0]
+    return grid.join(filled, "pixel", "left").select((n - 1 - F.col("r_")).alias("r_"), "c_", r(geo.clamp(value, 0, 100), 2).alias("risk"))
+
+
+@query()
+def wind_grid(spark, d):
+    """Wind components every quarter of a degree, linear between observations; null outside their hull."""
+    u, v = geo.uv_from("wind_speed", "wind_dir")
+    seen = fx.nav_nodes(spark, d).join(fx.wx_obs(spark, d).where("step_h = 0 and wind_speed is not null and wind_dir is not null"), "node_id").select("lat", "lon", F.array(u, v).alias("v"))
+    steps = lambda lo, hi: F.sequence(F.lit(0).cast("long"), (F.ceil((F.col(hi) + DEFAULT.wind_step - F.col(lo)) / DEFAULT.wind_step) - 1).cast("long"))
+    g = _box(seen, DEFAULT.wind_pad).select("*", F.explode(steps("a", "b")).alias("r_")).repartition(spark.sparkContext.defaultParallelism, "r_").select("*", F.explode(steps("c", "dd")).alias("c_"))
+    at = lambda lo, i: F.col(lo) + DEFAULT.wind_step * F.col(i)
+    pixels = g.select("r_", "c_", (F.col("r_") * 1_000_000 + F.col("c_")).alias("pixel"), at("a", "r_").alias("lat"), at("c", "c_").alias("lon"))
+    return _linear(pixels, seen).select("r_", "c_", r("lat").alias("lat"), r("lon").alias("lon"), r(F.col("v")[0], 4).alias("u"), r(F.col("v")[1], 4).alias("v"))
+
+
 @query(o.over(f"SELECT r_, c_, {o.r('SUM(x * s) / SUM(x)', 3)} AS risk, {o.r('SUM(x)', 3)} AS weight FROM (SELECT *, EXP(-km * km / (2e0 * 3600e0)) AS x, {o.severity()} AS s FROM p WHERE km <= 100e0) GROUP BY 1, 2", "nav_nodes", "wx_obs", g=_grid_sql(DEFAULT.risk_raster), p=PIX))
 def risk_raster(spark, d):
     """Gaussian splats of severity: sums of weights up to 100 km away, and the weighted mean."""
@@ -542,6 +575,34 @@ def risk_raster(spark, d):
     return p.groupBy("r_", "c_").agg(r(_mean(F.col("s")), 3).alias("risk"), r(F.sum("w"), 3).alias("weight"))
 
 
+SPLAT = f"""SELECT *, GREATEST({DEFAULT.splat_deg}e0 / (dd - c) * {DEFAULT.risk_raster}, {DEFAULT.splat_deg}e0 / (b - a) * {DEFAULT.risk_raster}, 12e0) AS s FROM (SELECT MIN(lat) - pa AS a, MAX(lat) + pa AS b, MIN(lon) - po AS c, MAX(lon) + po AS dd FROM q
+  CROSS JOIN (SELECT GREATEST((MAX(lat) - MIN(lat)) * 0.35e0, {DEFAULT.raster_pad}e0) AS pa, GREATEST((MAX(lon) - MIN(lon)) * 0.35e0, {DEFAULT.raster_pad}e0) AS po FROM q) GROUP BY pa, po)"""
+SPLATTED = f"""SELECT py, unnest(range(CAST(GREATEST(FLOOR(x - s), 0) AS BIGINT), CAST(LEAST(CEIL(x + s), {DEFAULT.risk_raster - 1}) AS BIGINT) + 1)) AS px, x, y, s, risk FROM (SELECT *, unnest(range(CAST(GREATEST(FLOOR(y - s), 0) AS BIGINT), CAST(LEAST(CEIL(y + s), {DEFAULT.risk_raster - 1}) AS BIGINT) + 1)) AS py
+  FROM (SELECT (lon - c) / (dd - c) * {DEFAULT.risk_raster}e0 AS x, (b - lat) / (b - a) * {DEFAULT.risk_raster}e0 AS y, s, risk FROM q CROSS JOIN box))"""
+
+
+@query(o.over(f"SELECT py, px, {o.r('SUM(w * risk) / SUM(w)', 3)} AS risk, {o.r('SUM(w)', 3)} AS weight FROM (SELECT py, px, risk, s, EXP(-d2 / (0.72e0 * s * s)) AS w, d2 FROM (SELECT *, {o.r('(px - x) * (px - x) + (py - y) * (py - y)')} AS d2 FROM splatted)) WHERE d2 <= s * s GROUP BY 1, 2",
+              "nav_nodes", "wx_obs", q=f"SELECT lat, lon, LEAST(GREATEST(100e0 * {o.risk()}, 0e0), 100e0) AS risk FROM nav_nodes n JOIN wx_obs w ON w.node_id = n.node_id AND w.step_h = 0 WHERE {o.risk()} IS NOT NULL", box=SPLAT, splatted=SPLATTED))
+def splat_raster(spark, d):
+    """Risk splatted on pixels from north to south: each observation meets the pixels of its kernel by their offsets, 0.6 of whose radius is the width of its bell.
+
+    Work is observations times pixels of a kernel, and sums by pixel are taken before anything moves.
+    """
+    n, deg = DEFAULT.risk_raster, DEFAULT.splat_deg
+    q = fx.nav_nodes(spark, d).join(fx.wx_obs(spark, d).where("step_h = 0"), "node_id").select("lat", "lon", geo.clamp(100.0 * risk.safety_risk(*WX), 0, 100).alias("risk")).where("risk is not null")
+    low = q.agg(*[f(c).alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("lo", F.min), ("hi", F.max))])
+    pad = lambda c: F.greatest((F.col(f"hi_{c}") - F.col(f"lo_{c}")) * 0.35, F.lit(DEFAULT.raster_pad))
+    box = low.select((F.col("lo_lat") - pad("lat")).alias("a"), (F.col("hi_lat") + pad("lat")).alias("b"), (F.col("lo_lon") - pad("lon")).alias("c"), (F.col("hi_lon") + pad("lon")).alias("dd"))
+    box = box.withColumn("s", F.greatest(deg / (F.col("dd") - F.col("c")) * n, deg / (F.col("b") - F.col("a")) * n, F.lit(12.0)))
+    # one row of bounds
+    p = q.crossJoin(F.broadcast(box)).select("risk", "s", ((F.col("lon") - F.col("c")) / (F.col("dd") - F.col("c")) * float(n)).alias("x"), ((F.col("b") - F.col("lat")) / (F.col("b") - F.col("a")) * float(n)).alias("y"))
+    reach = lambda c: F.sequence(F.greatest(F.floor(F.col(c) - F.col("s")), F.lit(0).cast("long")), F.least(F.ceil(F.col(c) + F.col("s")), F.lit(n - 1).cast("long")))
+    p = p.repartition(spark.sparkContext.defaultParallelism).select("*", F.explode(reach("y")).alias("py")).select("*", F.explode(reach("x")).alias("px"))
+    d2 = r((F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")))
+    p = p.withColumn("d2", d2).where(F.col("d2") <= F.col("s") * F.col("s")).withColumn("w", F.exp(-F.col("d2") / (0.72 * F.col("s") * F.col("s"))))
+    return p.groupBy("py", "px").agg(r(_mean(F.col("risk")), 3).alias("risk"), r(F.sum("w"), 3).alias("weight"))
+
+
 @query(o.over(f"SELECT voyage_id, route_type, seq, {o.r(o.risk(), 4)} AS risk, COALESCE(wind_speed, 10e0) AS wind_speed, COALESCE(wave_height, 1e0) AS wave_height FROM route_wx", "route_wx"))
 def route_weather(spark, d):
     """Weather along routes: risk from what is known, then defaults."""

@@ -40,7 +40,7 @@ class PieceLengths(dict):
                 self[p] = n
                 continue
             batch.append(p)
-            size += len(p)
+            size += n_bytes(p)
             if size > CALL_BYTES:
                 self._encode(batch)
                 batch, size = [], 0
@@ -64,17 +64,27 @@ def _model(path: str) -> PieceLengths:
     return _models[path]
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def reach(text: str, at: int, limit: int) -> int:
+    """Where limit bytes of UTF-8 from at on end, in code points; a character that is cut counts as after it."""
+    head = text[at : at + limit]
+    return at + (len(head) if head.isascii() else len(head.encode("utf-8", "surrogatepass")[:limit].decode("utf-8", "ignore")))
+
+
 def batches_by_bytes(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """(row, segment) lists of about limit code points; a longer text is cut at safe spaces."""
+    """(row, segment) lists of about limit bytes of UTF-8; a longer text is cut at safe spaces."""
     batch, size = [], 0
     for row, text in enumerate(texts):
         text, at = text or "", 0
         while True:
             end = len(text)
-            if end - at > limit and (m := _SAFE.search(text, at + limit)):
+            if (till := reach(text, at, limit)) < end and (m := _SAFE.search(text, till)):
                 end = m.start()
             batch.append((row, text[at:end]))
-            size += end - at
+            size += n_bytes(text[at:end])
             if size >= limit:
                 yield batch
                 batch, size = [], 0

@@ -85,3 +85,16 @@ def range_block(column: Column, bounds: Iterable[int]) -> Column:
     n = F.size(F.filter(heads, lambda x: x <= column))
     inside = F.size(F.filter(F.element_at(nested, n), lambda x: x <= column))
     return F.when(column.isNull() | (n == 0), F.lit(0)).otherwise((n - 1) * step + inside).cast("int")
+
+
+def quoted(name: str) -> str:
+    """A column's name as one that may hold dots and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """name, or name with as many lines below it as it takes to be none of df's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,14 +8,14 @@ blocks are permuted for that epoch, and blocks are taken in this order up to the
 
 from __future__ import annotations
 
-from math import log
+from math import isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import checkpoint, words
+from fathomline.llm.common import checkpoint, fresh, quoted, words
 
-#: Documents to a block, blocks of a source at most, points and rounds of the search, sources up to which a plan is broadcast.
+#: Documents to a block, blocks of a source up to which blocks have that size (beyond it, their number grows with the root of the documents), points and rounds of the search, sources up to which a plan is broadcast.
 BLOCK, BLOCKS, POINTS, ROUNDS, FEW_SOURCES = 256, 4096, 32, 5, 20_000
 #: Where a null source is put; a source of this name shares its quota.
 NO_SOURCE = "(none)"
@@ -80,16 +80,19 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeat: float | None
     Shares count tokens (words unless a column is given) over all rows. A source gets its quota up to less than one
     document: the document that would exceed it is left out, and with it what follows in its block. Without a budget
     nothing is dropped. Rows without tokens cost nothing and are copied as their place falls. Equal rows stand or fall together, as their
-    order keys are equal; a null source is one more source. Where docs has a column `epoch`, the new one is `epoch_`. An empty table gives an empty result. Blocks are hashed, so
+    order keys are equal; a null source is one more source. Where docs has a column `epoch`, the new one is `epoch_`, with one more line for each that is there too. An empty table gives an empty result. Blocks are hashed, so
     that a source of any size is dealt evenly; only sums by block and the documents of one block per source are windowed.
     """
     counted = F.size(words(F.col(text_col))).cast("long") if tokens is None else tokens.cast("long")
     name = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("_mix_source")
     key = _unit(F.lit(seed), F.col(id_col), F.octet_length(text_col)).alias("_mix_doc")
-    n_blocks = min(BLOCKS, max(1, docs.count() // BLOCK))
+    n = docs.count()
+    n_blocks = max(1, min(BLOCKS, n // BLOCK), isqrt(n) if n > BLOCKS * BLOCKS else 1)
     block = F.pmod(_unit(F.lit("block"), F.col("_mix_doc")), F.lit(n_blocks)).cast("int")
-    rows = docs.select("*", name, key).withColumn("_mix_block", block)
-    size = checkpoint(rows.groupBy("_mix_source", "_mix_block").agg(F.sum(F.coalesce(counted, F.lit(0))).alias("tokens")))
+    # columns are numbered on the way, so that none of them has a name that is used here
+    numbered = [docs[quoted(c)].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*numbered, counted.alias("_mix_tokens"), name, key).withColumn("_mix_block", block)
+    size = checkpoint(rows.groupBy("_mix_source", "_mix_block").agg(F.sum(F.coalesce("_mix_tokens", F.lit(0))).alias("tokens")))
     totals = size.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("tokens").alias("tokens"))
     found = solve_exponent(totals, entropy, max_repeat, budget)
     quota = F.lit(found["scale"]) * F.pow(F.col("tokens"), F.lit(found["exponent"])) * (1 + 1e-12)
@@ -104,13 +107,13 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeat: float | None
     edge = cross.select("_mix_source", F.col("cut._mix_block").alias("_mix_block"), F.col("cut.left").alias("left"))
     few = totals.count() <= FEW_SOURCES
     small = F.broadcast if few else (lambda x: x)
-    last = rows.select("_mix_source", "_mix_block", "_mix_doc", counted.alias("_mix_tokens")).join(small(edge), ["_mix_source", "_mix_block"])
+    last = rows.select("_mix_source", "_mix_block", "_mix_doc", "_mix_tokens").join(small(edge), ["_mix_source", "_mix_block"])
     docs_order = Window.partitionBy("_mix_source").orderBy("_mix_doc").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     within = last.withColumn("upto", F.sum(F.coalesce("_mix_tokens", F.lit(0))).over(docs_order))
     stop = within.where("upto > left").groupBy("_mix_source").agg(F.min("_mix_doc").alias("stop"))
     plan = checkpoint(plan.join(cross, "_mix_source", "left").join(stop, "_mix_source", "left").select(
         "_mix_source", F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut"), F.col("stop").alias("_mix_stop"), (F.col("tokens") > 0).alias("_mix_some")))
-    joined = rows.join(small(plan), "_mix_source")
+    joined = rows.drop("_mix_tokens").join(small(plan), "_mix_source")
     mine, cut = turn("_mix_full"), F.col("_mix_cut")
     at_edge = (mine == cut["turn"]) & (F.col("_mix_block") == cut["_mix_block"])
     before = (mine < cut["turn"]) | ((mine == cut["turn"]) & (F.col("_mix_block") < cut["_mix_block"]))
@@ -118,4 +121,5 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeat: float | None
     copies = F.col("_mix_full") + F.when(part, 1).otherwise(0)
     # an epoch's number for each copy; sequence() can't be empty, so rows that come not at all go first
     made = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
-    return made.select(*[made[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias("epoch_" if "epoch" in docs.columns else "epoch"))
+    epoch = fresh("epoch", docs)
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias(epoch))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import checkpoint
+from fathomline.llm.common import checkpoint, fresh
 from fathomline.llm.components import components
 
 #: Random candidates per fingerprint that a grid may give; the least number of groups that its cells hold equal; members from
@@ -154,5 +154,6 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str =
     empty result.
     """
     found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    mark = fresh("_gone", docs)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")

@@ -41,3 +41,17 @@ def test_neighbours_at_a_pole_equal_sql(spark, polar, name):
     more, less, n = differing(spark, name, polar)
     assert (more, less) == ([], [])
     assert isinstance(n, int) and n > 0
+
+
+@pytest.mark.parametrize("name, by", [("bearing", "src#"), ("edge_samples", "src#"), ("path_cost", "voyage_id#"), ("gfs_stencil", "node_id#"), ("cmems_stencil", "node_id#")])
+def test_edges_and_stencils_are_made_where_they_are_used(spark, polar, name, by):
+    """No table of edges, or of nodes by cells and steps, moves or is sorted."""
+    plan = plans.queries()[name](spark, polar)._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning({by}" not in plan
+
+
+@pytest.mark.parametrize("name", ["bearing", "nav_edges", "edge_samples", "path_cost", "gfs_stencil", "cmems_stencil"])
+def test_edges_and_stencils_at_a_pole_equal_sql(spark, polar, name):
+    more, less, n = differing(spark, name, polar)
+    assert (more, less) == ([], [])
+    assert isinstance(n, int)

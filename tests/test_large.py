@@ -55,3 +55,9 @@ def test_edges_and_stencils_at_a_pole_equal_sql(spark, polar, name):
     more, less, n = differing(spark, name, polar)
     assert (more, less) == ([], [])
     assert isinstance(n, int)
+
+
+@pytest.mark.parametrize("name, key", [("turn_pairs", "via#"), ("path_cost", "src#"), ("corridor_grid", "node_id#"), ("induced_subgraph", "src#")])
+def test_edges_are_not_broadcast(spark, polar, name, key):
+    plan = plans.queries()[name](spark, polar)._jdf.queryExecution().executedPlan().toString()
+    assert f"BroadcastHashJoin [{key}" not in plan

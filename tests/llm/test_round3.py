@@ -282,3 +282,24 @@ def test_scores_do_not_depend_on_how_files_are_cut(spark, corpus, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+def test_near_copies_around_an_odd_smallest_one_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """60 texts alike to each other, each of which is less alike to the smallest node than asked."""
+    from fathomline.llm import near_texts
+
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:100] + [f"x{k}"] + base[101:]) for k in range(60)] + [" ".join(base[k:] + [f"y{i}" for i in range(k)]) for k in (22, 24, 26)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted, real = [], near_texts.components
+    monkeypatch.setattr(near_texts, "components", lambda edges: (counted.append(edges.distinct().count()), real(edges))[1])
+    found = {r["doc_id"]: r["component_id"] for r in near_texts.near_texts(docs).collect()}
+    sets = [near_texts.shingles(t, 5) for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert found == dict(enumerate(want))
+    assert counted[-1] < 60

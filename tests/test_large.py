@@ -61,3 +61,10 @@ def test_edges_and_stencils_at_a_pole_equal_sql(spark, polar, name):
 def test_edges_are_not_broadcast(spark, polar, name, key):
     plan = plans.queries()[name](spark, polar)._jdf.queryExecution().executedPlan().toString()
     assert f"BroadcastHashJoin [{key}" not in plan
+
+
+@pytest.mark.parametrize("name, keys", [("idw_weather", ("place#", "o#"))])
+def test_weather_is_not_broadcast(spark, polar, name, keys):
+    """Places and observations grow with the input, however small their files look."""
+    plan = plans.queries()[name](spark, polar)._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in keys if f"BroadcastHashJoin [{k}" in plan]

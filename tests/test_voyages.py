@@ -327,3 +327,28 @@ def test_weather_at_hours_by_definition(spark):
             assert math.isclose(r[c], want, abs_tol=1e-5)
     hours = spark.range(-5, 90).selectExpr("id", "cast(id as double) as h").select("id", weather.step_of(geo.col("h")).alias("s")).collect()
     assert all(r.s == min(range(0, 73, 3), key=lambda s: (abs(s - min(max(r.id, 0), 71)), s)) for r in hours)
+
+
+@pytest.mark.parametrize("radius", [r for _, r in ways.RADII])
+def test_corridor_sums_equal_brute_force(spark, radius):
+    """Cells count as they are where they lie inside whole; latitudes that go round again are the same places, and nothing is broadcast."""
+    rng = random.Random(int(radius))
+    place = {i: (rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(1500)} | {1500: (90.0, 0.0), 1501: (0.0, 180.0), 1502: (-90.0, -180.0)}
+    place |= {2000 + i: (place[i][0] + 360, place[i][1]) for i in range(0, 1500, 3)}
+    paths = {(i, i + 1): rng.sample(sorted(place), 1 + 4 * i) for i in range(6)} | {(7, 8): [1500, 1501, 1502]}
+    nodes = spark.createDataFrame([(i, *x) for i, x in place.items()], "node_id long, lat double, lon double")
+    found = spark.createDataFrame([(*k, radius, p) for k, p in paths.items()], "start_key long, end_key long, radius_km double, path array<long>")
+    made = ways.corridor_sums(found, nodes)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.start_key, r.end_key): (r.nodes, r.node_sum) for r in made.collect()}
+    for k, p in paths.items():
+        inside = [n for n, at in place.items() if any(km(*at, *place[x]) <= radius for x in p)]
+        assert got[k] == (len(inside), sum(inside))
+
+
+def test_corridors_are_counted_by_cells():
+    """A corridor of 2,000 km is told by fewer cells than it has cells of the smallest size; only its edge is compared place by place."""
+    import numpy as np
+
+    codes, near = ways._cells_of(np.array([[1.0, 0.0, 0.0]]), 2000.0)
+    assert len(codes) == len(set(codes.tolist())) and len(codes) < 400 and 0 < near.any(1).sum() < 200

@@ -68,3 +68,25 @@ def test_weather_is_not_broadcast(spark, polar, name, keys):
     """Places and observations grow with the input, however small their files look."""
     plan = plans.queries()[name](spark, polar)._jdf.queryExecution().executedPlan().toString()
     assert not [k for k in keys if f"BroadcastHashJoin [{k}" in plan]
+
+
+@pytest.fixture(scope="module")
+def sparse(tmp_path_factory):
+    """A lattice of 60 rows of which the first five are observed, and a few nodes far from them."""
+    d = str(tmp_path_factory.mktemp("sparse"))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT range AS p_partkey, CASE WHEN range % 13 > 0 THEN 10 ELSE 1 END AS p_size FROM range(6000)")
+    c.execute("CREATE TABLE orders AS SELECT range AS o_orderkey, (range * 37) % 6000 AS o_custkey, DATE '2024-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority, 1e2 AS o_totalprice FROM range(300)")
+    c.execute("""CREATE TABLE lineitem AS SELECT range % 77 AS l_orderkey, CASE WHEN range % 100 = 99 THEN 4000 + range % 7 ELSE (range * 7) % 500 END AS l_partkey, range % 9 AS l_suppkey, CAST(1 + range % 50 AS DOUBLE) AS l_quantity,
+      (range % 11) / 1e2 AS l_discount, (range % 9) / 1e2 AS l_tax, CASE WHEN range % 3 = 0 THEN 'R' ELSE 'N' END AS l_returnflag FROM range(9000)""")
+    for t in TABLES:
+        c.execute(f"COPY {t} TO '{d}/{t}.parquet' (FORMAT parquet)")
+    return d
+
+
+@pytest.mark.parametrize("name", ["idw_weather", "edge_weather_samples"])
+def test_weather_where_few_nodes_are_observed_equals_sql(spark, sparse, name):
+    """Places with no observed node, or fewer than six, within two degrees."""
+    more, less, n = differing(spark, name, sparse)
+    assert (more, less) == ([], [])
+    assert isinstance(n, int) and n > 0

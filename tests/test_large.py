@@ -90,3 +90,27 @@ def test_weather_where_few_nodes_are_observed_equals_sql(spark, sparse, name):
     more, less, n = differing(spark, name, sparse)
     assert (more, less) == ([], [])
     assert isinstance(n, int) and n > 0
+
+
+def test_imputed_heights_are_from_four_nodes_however_far(spark, tmp_path):
+    """Nodes that lack a wave height between rows 40 and 50, and known ones in the first rows only."""
+    d, c = str(tmp_path), duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT range AS p_partkey, 10 AS p_size FROM range(5000)")
+    c.execute("CREATE TABLE orders AS SELECT range AS o_orderkey, range AS o_custkey, DATE '2024-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority, 1e2 AS o_totalprice FROM range(3)")
+    c.execute("""CREATE TABLE lineitem AS SELECT 25 AS l_orderkey, CASE WHEN range < 50 THEN range * 3 ELSE 4000 + range * 2 END AS l_partkey, 1 AS l_suppkey, CAST(1 + range % 50 AS DOUBLE) AS l_quantity,
+      (range % 11) / 1e2 AS l_discount, 1e-2 AS l_tax, CASE WHEN range < 50 THEN 'N' ELSE 'R' END AS l_returnflag FROM range(400)""")
+    for t in TABLES:
+        c.execute(f"COPY {t} TO '{d}/{t}.parquet' (FORMAT parquet)")
+    assert differing(spark, "impute_neighbors", d) == ([], [], 350)
+    assert {x.n for x in plans.queries()["impute_neighbors"](spark, d).collect()} == {4}
+    assert differing(spark, "current_weather", d)[:2] == ([], [])
+
+
+def test_nearest_places_are_found_where_latitudes_go_round_again(spark):
+    """A latitude of 370 degrees is that of 10, and 100 is 80 on the other side."""
+    from fathomline.operators import spatial
+
+    places = [(1, 10.0, -60.0), (2, 89.9, 0.0), (3, 80.0, 120.0), (4, -60.0, 10.0)]
+    others = [(1, 370.0, -60.2), (2, 90.4, 0.0), (3, 100.2, -60.0), (4, 300.0, 10.1), (5, 0.0, 0.0), (6, 85.0, 90.0)]
+    found = spatial.nearest(spark.createDataFrame(places, "a long, lat double, lon double"), "a", spark.createDataFrame(others, "o long, lat_o double, lon_o double"), "o", 1, 30.0)
+    assert {r.a: r.o for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4}

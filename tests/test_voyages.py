@@ -352,3 +352,13 @@ def test_corridors_are_counted_by_cells():
 
     codes, near = ways._cells_of(np.array([[1.0, 0.0, 0.0]]), 2000.0)
     assert len(codes) == len(set(codes.tolist())) and len(codes) < 400 and 0 < near.any(1).sum() < 200
+
+
+def test_ways_longer_than_the_globe_is_round(spark):
+    """A trip between two places a kilometre apart whose only way takes sixty steps of a thousand kilometres, and one without any way."""
+    steps = [(i, i + 1, 1000.0) for i in range(60)] + [(70, 71, 1.0)]
+    snap = lambda n: [(n, 0.0)]
+    t = spark.createDataFrame([(1, 2, 0.0, 0.0, 0.0, 0.01, snap(0), snap(60)), (3, 4, 0.0, 0.0, 0.0, 0.01, snap(0), snap(71))],
+                              "start_key long, end_key long, lat_a double, lon_a double, lat_b double, lon_b double, starts array<struct<node_id:long,km:double>>, ends array<struct<node_id:long,km:double>>")
+    found = {r.start_key: r for r in ways.baselines(t, spark.createDataFrame(steps, "src long, dst long, km double"))[0].collect()}
+    assert found[1].km == 60_000.0 and found[1].path == list(range(61)) and found[3].km is None

@@ -114,3 +114,28 @@ def test_nearest_places_are_found_where_latitudes_go_round_again(spark):
     others = [(1, 370.0, -60.2), (2, 90.4, 0.0), (3, 100.2, -60.0), (4, 300.0, 10.1), (5, 0.0, 0.0), (6, 85.0, 90.0)]
     found = spatial.nearest(spark.createDataFrame(places, "a long, lat double, lon double"), "a", spark.createDataFrame(others, "o long, lat_o double, lon_o double"), "o", 1, 30.0)
     assert {r.a: r.o for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_tables_of_rounds_leave_no_shuffles_behind(spark):
+    """Files of shuffles go when a table is written, not when the driver collects garbage."""
+    from pathlib import Path
+
+    from fathomline.operators import graph
+
+    files = lambda: set(Path(spark.sparkContext.getConf().get("spark.local.dir")).rglob("shuffle_*"))
+    before = files()
+    table, left = graph.checkpoint(spark.range(10_000).repartition(3)), graph.Round(spark.range(10_000).repartition(3))
+    assert table.count() == left.now.count() == 10_000
+    assert not {f for f in files() - before if f.name.endswith((".data", ".index")) and f.stat().st_size > 1000}
+    left.drop()
+    assert not Path(left.at).exists()
+
+
+def test_a_path_moves_once_for_each_large_cell():
+    """A corridor of 400 km meets a few cells as a whole instead of hundreds of smaller ones."""
+    import numpy as np
+
+    from fathomline.operators import ways
+
+    codes, near = ways._cells_of(np.array([[1.0, 0.0, 0.0]]), 400.0, ways.SIZES[:1])
+    assert len(codes) == len(near) <= 9
